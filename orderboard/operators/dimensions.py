@@ -56,23 +56,29 @@ def _from_totals(measures: Sequence[Measure]) -> list[Column]:
     return [m.over_totals(m.name).alias(m.name) for m in measures]
 
 
-def fits_broadcast(side: DataFrame) -> bool:
-    """Whether the whole side is known to be small, by measuring it.
+class Extent(NamedTuple):
+    """What one pass over the join columns of a side tells."""
 
-    One aggregate over the few columns the join needs. A column whose width
-    this cannot bound counts as too large.
+    fits_broadcast: bool
+    lowest_key: object
+    highest_key: object
+
+
+def measure_side(side: DataFrame, key: str) -> Extent:
+    """Measure a side before deciding to broadcast it.
+
+    A column whose width this cannot bound counts as too large.
     """
     limit = int(side.sparkSession.conf.get(BROADCAST_LIMIT, str(DEFAULT_BROADCAST_LIMIT)))
-    texts = []
+    size = F.count(F.lit(1)) * (ROW_OVERHEAD + VALUE_WIDTH * len(side.columns))
+    bounded = True
     for field in side.schema.fields:
         if isinstance(field.dataType, T.StringType):
-            texts.append(field.name)
+            size = size + F.coalesce(F.sum(F.octet_length(field.name)), F.lit(0))
         elif not isinstance(field.dataType, (T.NumericType, T.DatetimeType, T.BooleanType)):
-            return False
-    size = F.count(F.lit(1)) * (ROW_OVERHEAD + VALUE_WIDTH * len(side.columns))
-    for name in texts:
-        size = size + F.coalesce(F.sum(F.octet_length(name)), F.lit(0))
-    return side.agg(size.alias("bytes")).first()["bytes"] <= limit
+            bounded = False
+    size_row = side.agg(size, F.min(key), F.max(key)).first()
+    return Extent(bounded and size_row[0] <= limit, size_row[1], size_row[2])
 
 
 def join_then_total(
@@ -107,11 +113,17 @@ def total_by_attributes(
     by: Sequence[str],
     measures: Sequence[Measure],
     how: str = "inner",
+    within_keys: bool = False,
 ) -> DataFrame:
     """Totals of ``facts`` per ``by``, attributes of the dimension or the facts.
 
     ``how`` is ``inner`` or ``left`` (facts without a match keep NULL attributes).
+    ``within_keys`` limits an inner join's facts to the dimension's key range;
+    where keys grow over time the scan then skips most row groups.
     """
     narrow = dimension.select(key, *[c for c in by if c in dimension.columns and c != key])
-    plan = join_then_total if fits_broadcast(narrow) else total_then_join
+    extent = measure_side(narrow, key)
+    if within_keys and how == "inner":
+        facts = facts.filter(F.col(key).between(extent.lowest_key, extent.highest_key))
+    plan = join_then_total if extent.fits_broadcast else total_then_join
     return plan(facts, narrow, key, by, measures, how)

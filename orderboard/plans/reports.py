@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orderboard.functions.dates import in_year, month_name
 from orderboard.functions.labels import OTHER_PAYMENT, PAYMENT_LABELS, label_codes
 from orderboard.functions.numbers import line_value
-from orderboard.operators.dimensions import total, total_by_attributes, total_then_join
+from orderboard.operators.dimensions import total, total_by_attributes
 from orderboard.operators.ranking import ordering, ranked
 from orderboard.plans.rollups import summed
 
@@ -94,14 +94,19 @@ def products_per_supplier(supplier_products: DataFrame) -> DataFrame:
 def revenue_per_month(order_lines: DataFrame, orders: DataFrame, year: int) -> DataFrame:
     """Revenue per month of one year.
 
-    Both tables are facts, so neither is a broadcast candidate: lines are
-    totalled by order and meet their orders in that same partitioning.
+    Lines meet only the orders of that year. Unless those are few, both sides
+    are large: lines are totalled by order and joined in that partitioning.
     """
     months = in_year(orders, "order_date", year).select(
         "order_id", F.month("order_date").alias("month_no")
     )
-    totals = total_then_join(
-        order_lines, months, "order_id", ["month_no"], [total("revenue", line_value())]
+    totals = total_by_attributes(
+        order_lines,
+        months,
+        "order_id",
+        ["month_no"],
+        [total("revenue", line_value())],
+        within_keys=True,
     )
     return totals.orderBy("month_no").select(
         "month_no", month_name(F.col("month_no")).alias("month_name"), "revenue"

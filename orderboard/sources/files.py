@@ -25,7 +25,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_parquet(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
     """Parquet; with a schema no job has to read footers to find one."""
     reader = spark.read if schema is None else spark.read.schema(schema)

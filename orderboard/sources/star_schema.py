@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orderboard.model import MONEY, OrderModel
 from orderboard.sources.files import read_parquet
@@ -39,8 +38,7 @@ class StarSchema:
         self._spark, self._folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        schema = T.StructType.fromDDL(COLUMNS[name])
-        return read_parquet(self._spark, f"{self._folder}/{name}.parquet", schema)
+        return read_parquet(self._spark, f"{self._folder}/{name}.parquet", COLUMNS[name])
 
     def orders(self) -> DataFrame:
         return self.table("orders").select(
