@@ -87,9 +87,8 @@ def join_then_total(
     key: str,
     by: Sequence[str],
     measures: Sequence[Measure],
-    how: str = "inner",
 ) -> DataFrame:
-    joined = facts.join(F.broadcast(dimension), key, how)
+    joined = facts.join(F.broadcast(dimension), key)
     return joined.groupBy(*by).agg(*_from_rows(measures))
 
 
@@ -99,11 +98,10 @@ def total_then_join(
     key: str,
     by: Sequence[str],
     measures: Sequence[Measure],
-    how: str = "inner",
 ) -> DataFrame:
     own = [c for c in by if c not in dimension.columns]
     totals = facts.groupBy(key, *own).agg(*_from_rows(measures))
-    return totals.join(dimension, key, how).groupBy(*by).agg(*_from_totals(measures))
+    return totals.join(dimension, key).groupBy(*by).agg(*_from_totals(measures))
 
 
 def total_by_attributes(
@@ -112,18 +110,17 @@ def total_by_attributes(
     key: str,
     by: Sequence[str],
     measures: Sequence[Measure],
-    how: str = "inner",
     within_keys: bool = False,
 ) -> DataFrame:
-    """Totals of ``facts`` per ``by``, attributes of the dimension or the facts.
+    """Totals of the facts that have a dimension row, per ``by``.
 
-    ``how`` is ``inner`` or ``left`` (facts without a match keep NULL attributes).
-    ``within_keys`` limits an inner join's facts to the dimension's key range;
-    where keys grow over time the scan then skips most row groups.
+    ``by`` names attributes of the dimension or columns of the facts.
+    ``within_keys`` limits the facts to the dimension's key range; where keys
+    grow over time the scan then skips most row groups.
     """
     narrow = dimension.select(key, *[c for c in by if c in dimension.columns and c != key])
     extent = measure_side(narrow, key)
-    if within_keys and how == "inner":
+    if within_keys:
         facts = facts.filter(F.col(key).between(extent.lowest_key, extent.highest_key))
     plan = join_then_total if extent.fits_broadcast else total_then_join
-    return plan(facts, narrow, key, by, measures, how)
+    return plan(facts, narrow, key, by, measures)

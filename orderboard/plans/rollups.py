@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderboard.functions.numbers import line_value
 from orderboard.operators.dimensions import (
     largest,
     non_null_count,
@@ -24,28 +23,15 @@ from orderboard.operators.dimensions import (
 
 
 def product_sales(
-    order_lines: DataFrame,
-    products: DataFrame,
-    by: Sequence[str] = ("product_name",),
-    keep_unknown: bool = False,
+    order_lines: DataFrame, products: DataFrame, by: Sequence[str] = ("product_name",)
 ) -> DataFrame:
-    """Sales per product attribute.
-
-    ``keep_unknown`` keeps lines without a product and marks the others with
-    ``known_product``, for totals over all lines.
-    """
+    """Sales per product attribute, of lines whose product exists."""
     measures = [
         total("quantity_sold", "quantity"),
         row_count("line_count"),
         non_null_count("order_count", "order_id"),
-        total("revenue", line_value()),
     ]
-    if not keep_unknown:
-        return total_by_attributes(order_lines, products, "product_id", by, measures)
-    marked = products.withColumn("known_product", F.lit(True))
-    return total_by_attributes(
-        order_lines, marked, "product_id", [*by, "known_product"], measures, how="left"
-    )
+    return total_by_attributes(order_lines, products, "product_id", by, measures)
 
 
 def customer_activity(

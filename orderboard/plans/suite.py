@@ -1,8 +1,8 @@
 """Run every report as one batch job.
 
-The reports share four stored rollups, so a run scans order lines twice (once
-for sales, once for monthly revenue) and orders three times, however many
-reports it writes. Rollups are tables in the cluster's shared folder: losing an
+The reports share four stored rollups, so a run scans order lines three times
+(for sales, total revenue and monthly revenue) and orders three times, however
+many reports it writes. Rollups are tables in the cluster's shared folder: losing an
 executor does not repeat the scans.
 """
 
@@ -74,8 +74,8 @@ def order_reports(
     """All order reports by name; ``month_year`` is the year of orders per month."""
     stored = partial(StoredTable, spark, shared_folder(spark, "rollups"))
     dated = rollups.with_periods(model.orders)
-    all_sales = stored("sales", lambda: rollups.product_sales(
-        model.order_lines, model.products, ["product_name", "category_id"], keep_unknown=True
+    sales = stored("sales", lambda: rollups.product_sales(
+        model.order_lines, model.products, ["product_name", "category_id"]
     ))
     activity = stored("activity", lambda: rollups.customer_activity(
         dated, model.customers, ["company_name", "order_year"]
@@ -85,9 +85,6 @@ def order_reports(
     ))
     suppliers = stored("suppliers", lambda: rollups.supplier_products(model.products, model.suppliers))
 
-    def sales() -> DataFrame:
-        return all_sales().filter("known_product")
-
     def activity_in_year() -> DataFrame:
         return activity().filter(F.col("order_year") == year)
 
@@ -99,8 +96,8 @@ def order_reports(
 
     return {
         "kpi_board": lambda: kpis.kpi_board(
-            calendar(), activity(), all_sales(), suppliers(),
-            model.products, model.customers, model.suppliers,
+            calendar(), activity(), sales(), kpis.total_revenue(model.order_lines),
+            suppliers(), model.products, model.customers, model.suppliers,
         ),
         "top10_products_by_quantity": lambda: reports.top_products_by_quantity(sales()),
         "top10_products_by_lines": lambda: reports.top_products_by_lines(sales()),

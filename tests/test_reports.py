@@ -27,8 +27,8 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-def sales(m, *by, **how):
-    return rollups.product_sales(m.order_lines, m.products, by or ("product_name",), **how)
+def sales(m, *by):
+    return rollups.product_sales(m.order_lines, m.products, by or ("product_name",))
 
 
 def activity(m):
@@ -124,7 +124,8 @@ def board(m):
     return kpis.kpi_board(
         rollups.order_calendar(m.orders),
         activity(m),
-        sales(m, keep_unknown=True),
+        sales(m),
+        kpis.total_revenue(m.order_lines),
         rollups.supplier_products(m.products, m.suppliers),
         m.products,
         m.customers,
