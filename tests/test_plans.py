@@ -61,7 +61,7 @@ def test_large_dimension_meets_totals_not_rows(spark, large_dimensions):
     assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == [
         "product_id", "product_id", "product_name",
     ]
-    partial = plan.index("partial_sum(quantity#")
+    partial = plan.index("partial_sum(UnscaledValue(quantity#")
     assert plan.index("SortMergeJoin") < partial < plan.index("l_quantity")
 
 
