@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from fixtures import ROWS, stored_model  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory) -> SparkSession:
@@ -15,7 +17,7 @@ def spark(tmp_path_factory) -> SparkSession:
         SparkSession.builder.master("local[8]")
         .appName("orderboard-tests")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.maxMetadataStringLength", "1000")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
@@ -25,3 +27,14 @@ def spark(tmp_path_factory) -> SparkSession:
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def small(spark, tmp_path_factory):
+    """The hand-made model, stored once."""
+    return stored_model(spark, str(tmp_path_factory.mktemp("small")), ROWS)
+
+
+@pytest.fixture(scope="session")
+def empty(spark, tmp_path_factory):
+    return stored_model(spark, str(tmp_path_factory.mktemp("empty")), {})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import io
 from decimal import Decimal
 
 from orderboard.model import SCHEMAS, OrderModel
+from orderboard.sources.files import read_order_model
 
 D = Decimal
 
@@ -50,9 +53,15 @@ ROWS = {
 }
 
 
-def small_model(spark) -> OrderModel:
-    return OrderModel(**{t: spark.createDataFrame(ROWS[t], SCHEMAS[t]) for t in SCHEMAS})
+def stored_model(spark, folder: str, rows: dict) -> OrderModel:
+    for table, schema in SCHEMAS.items():
+        df = spark.createDataFrame(rows.get(table, []), schema)
+        df.coalesce(1).write.parquet(f"{folder}/{table}")
+    return read_order_model(spark, folder)
 
 
-def empty_model(spark) -> OrderModel:
-    return OrderModel(**{t: spark.createDataFrame([], SCHEMAS[t]) for t in SCHEMAS})
+def plan_of(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from fixtures import empty_model, small_model
 
 from orderboard.functions.dates import in_year, month_name
 from orderboard.operators.dimensions import BROADCAST_LIMIT
@@ -16,10 +15,10 @@ D = Decimal
 
 
 @pytest.fixture(params=["broadcast", "total first"])
-def m(spark, request):
+def m(spark, small, request):
     if request.param == "total first":
         spark.conf.set(BROADCAST_LIMIT, "0")
-    yield small_model(spark)
+    yield small
     spark.conf.unset(BROADCAST_LIMIT)
 
 
@@ -183,8 +182,8 @@ def test_board_agrees_with_single_cards(m):
             assert shown[name] == str(rows(df)[0][0]), name
 
 
-def test_empty_tables(spark):
-    m = empty_model(spark)
+def test_empty_tables(empty):
+    m = empty
     assert rows(kpis.order_count(m.orders)) == [(0,)]
     assert rows(kpis.total_revenue(m.order_lines)) == [(None,)]
     assert rows(kpis.avg_price(m.products)) == [(None,)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from fixtures import ROWS, small_model
+from fixtures import ROWS
 from pyspark.errors import AnalysisException
 
 from orderboard.model import SCHEMAS, OrderModel
@@ -19,9 +19,9 @@ def rows(df):
 
 
 @pytest.mark.parametrize("file_format", ["parquet", "csv"])
-def test_model_from_files(spark, tmp_path, file_format):
+def test_model_from_files(spark, small, tmp_path, file_format):
     for name in SCHEMAS:
-        writer = small_model(spark).table(name).write
+        writer = small.table(name).write
         if file_format == "csv":
             writer.csv(str(tmp_path / name), header=True)
         else:
@@ -55,18 +55,18 @@ def test_missing_table_and_column(spark):
         model.orders
 
 
-def test_tables_are_read_when_asked(spark):
+def test_tables_are_read_when_asked(small):
     read = []
     model = OrderModel(**{
-        t: (lambda t=t: read.append(t) or small_model(spark).table(t)) for t in SCHEMAS
+        t: (lambda t=t: read.append(t) or small.table(t)) for t in SCHEMAS
     })
     kpis.customer_count(model.customers).collect()
     model.customers
     assert read == ["customers"]
 
 
-def test_spanish_database(spark):
-    ours = small_model(spark)
+def test_spanish_database(small):
+    ours = small
 
     def exported(table):
         target, columns = order_db.TABLES[table]
@@ -85,12 +85,12 @@ def test_spanish_database_names_missing_columns(spark):
         model.customers
 
 
-def test_sql_over_the_model(spark):
+def test_sql_over_the_model(spark, small):
     text = "SELECT company_name FROM {customers} WHERE customer_id > :least ORDER BY customer_id"
-    df = run_sql(spark, text, small_model(spark), least=2)
+    df = run_sql(spark, text, small, least=2)
     assert [r[0] for r in df.collect()] == ["Caro", "Ana", None]
     with pytest.raises(AnalysisException):
-        run_sql(spark, "SELECT nothing FROM {customers}", small_model(spark)).collect()
+        run_sql(spark, "SELECT nothing FROM {customers}", small).collect()
 
 
 def test_jdbc_options():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from fixtures import small_model
 
 import __spark_entry__ as contract
 from orderboard.model import SCHEMAS, OrderModel
@@ -50,11 +49,10 @@ def test_reports_from_stored_rollups_equal_single_ones(spark, written, name):
     assert status[name]["rows"] == stored.count()
 
 
-def test_a_failing_table_fails_only_its_reports(spark):
+def test_a_failing_table_fails_only_its_reports(spark, small):
     def broken():
         raise RuntimeError("lines are gone")
 
-    small = small_model(spark)
     model = OrderModel(**{t: broken if t == "order_lines" else small.table(t) for t in SCHEMAS})
     todo = suite.order_reports(spark, model, 2021, 2021)
     chosen = {k: todo[k] for k in ("top10_products_by_quantity", "quantity_per_category", "orders_per_year")}
