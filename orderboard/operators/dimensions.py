@@ -70,15 +70,15 @@ def measure_side(side: DataFrame, key: str) -> Extent:
     A column whose width this cannot bound counts as too large.
     """
     limit = int(side.sparkSession.conf.get(BROADCAST_LIMIT, str(DEFAULT_BROADCAST_LIMIT)))
-    size = F.count(F.lit(1)) * (ROW_OVERHEAD + VALUE_WIDTH * len(side.columns))
+    size = f"count(1) * {ROW_OVERHEAD + VALUE_WIDTH * len(side.columns)}"
     bounded = True
     for field in side.schema.fields:
         if isinstance(field.dataType, T.StringType):
-            size = size + F.coalesce(F.sum(F.octet_length(field.name)), F.lit(0))
+            size += f" + coalesce(sum(octet_length(`{field.name}`)), 0)"
         elif not isinstance(field.dataType, (T.NumericType, T.DatetimeType, T.BooleanType)):
             bounded = False
-    size_row = side.agg(size, F.min(key), F.max(key)).first()
-    return Extent(bounded and size_row[0] <= limit, size_row[1], size_row[2])
+    row = side.selectExpr(size, f"min(`{key}`)", f"max(`{key}`)").first()
+    return Extent(bounded and row[0] <= limit, row[1], row[2])
 
 
 def join_then_total(

@@ -8,15 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from orderboard.model import MONEY, OrderModel
+from orderboard.model import OrderModel
 from orderboard.sources.files import read_parquet
 
-# Quantities are at most 50. Spark sums decimals of up to eight digits as longs,
-# which halves the cost of totalling them.
-QUANTITY = T.DecimalType(8, 2)
-
 # Labels for the two of the five order priorities that stand for known payment codes.
 PRIORITY_LABELS = {"1-URGENT": "EFECTIVO", "2-HIGH": "CREDITO"}
 
@@ -46,82 +41,77 @@ class StarSchema:
         return read_parquet(self._spark, f"{self._folder}/{name}.parquet", COLUMNS[name])
 
     def orders(self) -> DataFrame:
-        return self.table("orders").select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("employee_id"),
-            F.col("o_orderdate").alias("order_date"),
-            F.col("o_orderpriority").alias("payment_code"),
-            F.col("o_totalprice").cast(MONEY).alias("freight"),
+        return self.table("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            "nullif(o_orderstatus, 'P') AS employee_id",
+            "o_orderdate AS order_date",
+            "o_orderpriority AS payment_code",
+            "CAST(o_totalprice AS DECIMAL(12,2)) AS freight",
         )
 
     def order_lines(self) -> DataFrame:
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_quantity").cast(QUANTITY).alias("quantity"),
-            F.col("l_extendedprice").cast(MONEY).alias("unit_price"),
+        # Quantities are at most 50. Spark sums decimals of up to eight digits as
+        # longs, which halves the cost of totalling them.
+        return self.table("lineitem").selectExpr(
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            "CAST(l_quantity AS DECIMAL(8,2)) AS quantity",
+            "CAST(l_extendedprice AS DECIMAL(12,2)) AS unit_price",
         )
 
     def products(self) -> DataFrame:
         # The tables hold no supplier of a part; take the first that delivered it.
-        delivered_by = (
-            self.table("lineitem")
-            .groupBy(F.col("l_partkey").alias("product_id"))
-            .agg(F.min("l_suppkey").alias("supplier_id"))
-        )
-        parts = self.table("part").select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_retailprice").cast(MONEY).alias("unit_price"),
-            # Nor a stock level; this one differs between parts.
-            (F.col("p_partkey") * 7919 % 1009).alias("units_in_stock"),
-            F.col("p_type").alias("category_id"),
+        # Nor a stock level; the one here differs between parts.
+        delivered_by = self.table("lineitem").groupBy("l_partkey").agg(F.min("l_suppkey"))
+        return (
+            self.table("part")
+            .selectExpr(
+                "p_partkey AS product_id",
+                "p_name AS product_name",
+                "CAST(p_retailprice AS DECIMAL(12,2)) AS unit_price",
+                "p_partkey * 7919 % 1009 AS units_in_stock",
+                "p_type AS category_id",
+            )
+            .join(delivered_by.toDF("product_id", "supplier_id"), "product_id", "left")
         )
-        return parts.join(delivered_by, "product_id", "left")
 
     def customers(self) -> DataFrame:
-        return self.table("customer").select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("company_name")
+        return self.table("customer").selectExpr(
+            "c_custkey AS customer_id", "c_name AS company_name"
         )
 
     def suppliers(self) -> DataFrame:
-        return self.table("supplier").select(
-            F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("company_name")
+        return self.table("supplier").selectExpr(
+            "s_suppkey AS supplier_id", "s_name AS company_name"
         )
 
     def categories(self) -> DataFrame:
-        types = self.table("part").select(F.col("p_type").alias("category_id")).distinct()
-        return types.withColumn("category_name", F.col("category_id"))
+        types = self.table("part").select("p_type").distinct()
+        return types.selectExpr("p_type AS category_id", "p_type AS category_name")
 
     def employees(self) -> DataFrame:
         """Customers as employees: job by nation, department by region."""
-        hired = (
-            self.table("orders")
-            .groupBy(F.col("o_custkey").alias("c_custkey"))
-            .agg(F.min("o_orderdate").cast("date").alias("HIRE_DATE"))
-        )
+        hired = self.table("orders").groupBy("o_custkey").agg(F.min("o_orderdate"))
         return (
             self.table("customer")
-            .join(hired, "c_custkey", "left")
-            .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                F.col("c_custkey").alias("EMPLOYEE_ID"),
-                F.col("c_mktsegment").alias("FIRST_NAME"),
-                F.col("c_name").alias("LAST_NAME"),
-                F.upper("c_name").alias("EMAIL"),
-                F.col("c_custkey").cast("string").alias("PHONE_NUMBER"),
-                F.col("HIRE_DATE"),
-                F.col("n_name").alias("JOB_ID"),
-                F.col("c_acctbal").cast(MONEY).alias("SALARY"),
-                F.when(F.col("c_acctbal") > 5000, F.lit(0.25).cast("decimal(4,2)")).alias(
-                    "COMMISSION_PCT"
-                ),
-                F.col("c_nationkey").cast("long").alias("MANAGER_ID_x"),
-                F.col("r_regionkey").cast("long").alias("DEPARTMENT_ID"),
-                F.col("r_name").alias("DEPARTMENT_NAME"),
-                F.col("r_regionkey").cast("long").alias("MANAGER_ID_y"),
+            .join(hired.toDF("c_custkey", "first_order"), "c_custkey", "left")
+            .join(self.table("nation"), F.expr("c_nationkey = n_nationkey"))
+            .join(self.table("region"), F.expr("n_regionkey = r_regionkey"))
+            .selectExpr(
+                "c_custkey AS EMPLOYEE_ID",
+                "c_mktsegment AS FIRST_NAME",
+                "c_name AS LAST_NAME",
+                "upper(c_name) AS EMAIL",
+                "CAST(c_custkey AS STRING) AS PHONE_NUMBER",
+                "CAST(first_order AS DATE) AS HIRE_DATE",
+                "n_name AS JOB_ID",
+                "CAST(c_acctbal AS DECIMAL(12,2)) AS SALARY",
+                "CASE WHEN c_acctbal > 5000 THEN CAST(0.25 AS DECIMAL(4,2)) END AS COMMISSION_PCT",
+                "CAST(c_nationkey AS BIGINT) AS MANAGER_ID_x",
+                "CAST(r_regionkey AS BIGINT) AS DEPARTMENT_ID",
+                "r_name AS DEPARTMENT_NAME",
+                "CAST(r_regionkey AS BIGINT) AS MANAGER_ID_y",
             )
         )
 
