@@ -2,10 +2,12 @@
 
 Two exact plans, for any skew of the key or the attribute:
 
-* the dimension fits a broadcast: join in the map tasks, then total by
-  attribute. Facts are never shuffled, only one row per attribute and task.
-* it does not: total by key first, so that a hot key becomes one row per map
-  task, join those totals to the dimension, and total again by attribute.
+* total by key first, so that a hot key becomes one row per map task, join those
+  totals to the dimension, and total again by attribute.
+* where the dimension fits a broadcast and many keys share an attribute: join in
+  the map tasks, then total by attribute. Only one row per attribute and task is
+  shuffled. Without shared attributes this would shuffle as many rows as the
+  first plan, and longer ones.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 # Hash-table cost of one row besides the bytes of its strings.
 ROW_OVERHEAD = 64
 VALUE_WIDTH = 16
+# Keys that must share an attribute, on average, for joining first to pay.
+KEYS_PER_GROUP = 4
 
 
 class Measure(NamedTuple):
@@ -60,6 +64,7 @@ class Extent(NamedTuple):
     """What one pass over the join columns of a side tells."""
 
     fits_broadcast: bool
+    keys_per_group: float
     lowest_key: object
     highest_key: object
 
@@ -67,7 +72,8 @@ class Extent(NamedTuple):
 def measure_side(side: DataFrame, key: str) -> Extent:
     """Measure a side before deciding to broadcast it.
 
-    A column whose width this cannot bound counts as too large.
+    A column whose width this cannot bound counts as too large. Groups, the
+    distinct attributes, are estimated; they only choose between exact plans.
     """
     limit = int(side.sparkSession.conf.get(BROADCAST_LIMIT, str(DEFAULT_BROADCAST_LIMIT)))
     size = f"count(1) * {ROW_OVERHEAD + VALUE_WIDTH * len(side.columns)}"
@@ -77,8 +83,15 @@ def measure_side(side: DataFrame, key: str) -> Extent:
             size += f" + coalesce(sum(octet_length(`{field.name}`)), 0)"
         elif not isinstance(field.dataType, (T.NumericType, T.DatetimeType, T.BooleanType)):
             bounded = False
-    row = side.selectExpr(size, f"min(`{key}`)", f"max(`{key}`)").first()
-    return Extent(bounded and row[0] <= limit, row[1], row[2])
+    attributes = ", ".join(f"`{c}`" for c in side.columns if c != key)
+    groups = f"approx_count_distinct(xxhash64({attributes}))" if attributes else "1L"
+    row = side.selectExpr(
+        f"{size} AS bytes",
+        f"count(1) / greatest({groups}, 1) AS keys_per_group",
+        f"min(`{key}`) AS low",
+        f"max(`{key}`) AS high",
+    ).first()
+    return Extent(bounded and row["bytes"] <= limit, row["keys_per_group"], row["low"], row["high"])
 
 
 def join_then_total(
@@ -122,5 +135,6 @@ def total_by_attributes(
     extent = measure_side(narrow, key)
     if within_keys:
         facts = facts.filter(F.col(key).between(extent.lowest_key, extent.highest_key))
-    plan = join_then_total if extent.fits_broadcast else total_then_join
+    joins_first = extent.fits_broadcast and extent.keys_per_group >= KEYS_PER_GROUP
+    plan = join_then_total if joins_first else total_then_join
     return plan(facts, narrow, key, by, measures)

@@ -46,6 +46,12 @@ def test_small_dimension_needs_no_fact_shuffle(spark):
     ]
 
 
+def test_names_of_their_own_are_joined_after_totalling(spark):
+    plan = query_plan(spark, "orders_per_customer")
+    join = plan.index("Join")
+    assert join < plan.index("HashAggregate(keys=[customer_id") < plan.index("o_custkey")
+
+
 def test_large_dimension_meets_totals_not_rows(spark, large_dimensions):
     plan = query_plan(spark, "top10_products_by_quantity")
     assert "BroadcastHashJoin" not in plan

@@ -7,19 +7,17 @@ from decimal import Decimal
 import pytest
 
 from orderboard.functions.dates import in_year, month_name
-from orderboard.operators.dimensions import BROADCAST_LIMIT
+from orderboard.operators import dimensions
 from orderboard.operators.shares import share_of_total
 from orderboard.plans import charts, kpis, reports, rollups
 
 D = Decimal
 
 
-@pytest.fixture(params=["broadcast", "total first"])
-def m(spark, small, request):
-    if request.param == "total first":
-        spark.conf.set(BROADCAST_LIMIT, "0")
-    yield small
-    spark.conf.unset(BROADCAST_LIMIT)
+@pytest.fixture(params=["join first", "total first"])
+def m(small, request, monkeypatch):
+    monkeypatch.setattr(dimensions, "KEYS_PER_GROUP", 0 if request.param == "join first" else 1e9)
+    return small
 
 
 def rows(df):
