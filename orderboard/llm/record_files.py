@@ -1,11 +1,13 @@
 """Token ids as length-delimited binary records, with an offset index.
 
 A record is the number of its bytes (uint64), that number's masked CRC-32C, the
-document's ids (little-endian uint32, the end id last) and their masked CRC-32C:
-the framing of TFRecord files. Documents are range-partitioned and sorted by
+document's ids (little-endian, the end id last) and their masked CRC-32C: the
+framing of TFRecord files. Ids take two bytes each where the vocabulary allows,
+else four. Documents are range-partitioned and sorted by
 doc_id, one file for each range, so files in name order hold them in ascending
-order. The index is a Parquet table (part, file, offset, size, doc_id, n_tokens,
-first): where each record lies and how many ids precede it in its file. Reads in
+order. The index is a Parquet table (part, file, offset, size, width, doc_id,
+n_tokens, first): where each record lies, the bytes of an id, and how many ids
+precede it in its file. Reads in
 any order need nothing else.
 
 A task writes a file of its own name and hands its index rows to Spark; only
@@ -38,7 +40,7 @@ BYTES_PER_FILE = 32 << 20
 READ_RUN = 8 << 20
 HEADER, FOOTER = 12, 4
 
-INDEX = "part int, file string, offset long, size long, doc_id long, n_tokens long, first long"
+INDEX = "part int, file string, offset long, size long, width int, doc_id long, n_tokens long, first long"
 READ = "part int, first long, doc_id long, n_tokens long, ids binary"
 
 
@@ -65,7 +67,16 @@ def payloads(records: list[bytes]) -> list[bytes]:
     return out
 
 
+def id_width(vocabulary: str, end_id: int) -> int:
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(vocabulary).get_vocab().values()
+    return 2 if max(end_id, *ids) < 1 << 16 else 4
+
+
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = folder.removeprefix("file:")
     return pafs.FileSystem.from_uri(folder)
 
 
@@ -79,6 +90,7 @@ def write_records(
     """Write ``folder/data`` and ``folder/index``."""
     path = vocabulary or default_vocabulary()
     end = np.array([end_id], ID_TYPE).tobytes()
+    width = id_width(path, end_id)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-total // bytes_per_file))
 
@@ -94,7 +106,7 @@ def write_records(
                     file = f"part-{part:06d}-{uuid.uuid4().hex}.rec"
                     out = system.open_output_stream(f"{place}/{file}")
                 ids = [encode(t.as_py() or "") + end for t in batch.column("text")]
-                framed = frames(ids)
+                framed = frames([np.frombuffer(x, ID_TYPE).astype(f"<u{width}").tobytes() for x in ids])
                 out.write(b"".join(framed))
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 sizes = np.array([len(x) for x in framed], np.int64)
@@ -105,11 +117,12 @@ def write_records(
                         pa.array([file] * n, pa.string()),
                         pa.array(offset + np.cumsum(sizes) - sizes),
                         pa.array(sizes),
+                        pa.array(np.full(n, width, np.int32)),
                         batch.column("doc_id").cast(pa.int64()),
                         pa.array(counts),
                         pa.array(first + np.cumsum(counts) - counts),
                     ],
-                    names=["part", "file", "offset", "size", "doc_id", "n_tokens", "first"],
+                    names=["part", "file", "offset", "size", "width", "doc_id", "n_tokens", "first"],
                 )
                 offset += int(sizes.sum())
                 first += int(counts.sum())
@@ -159,7 +172,11 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     source = system.open_input_file(f"{place}/{name}")
                 data = source.read_at(size, run[0]["offset"])
                 base = run[0]["offset"]
-                ids = payloads([data[r["offset"] - base : r["offset"] - base + r["size"]] for r in run])
+                found = payloads([data[r["offset"] - base : r["offset"] - base + r["size"]] for r in run])
+                ids = [
+                    np.frombuffer(x, f"<u{r['width']}").astype(ID_TYPE).tobytes()
+                    for x, r in zip(found, run, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r["part"] for r in run], pa.int32()),
