@@ -80,11 +80,10 @@ def directory(hashes: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
         .agg(F.sum("n").alias("held"))
         .filter((F.col("held") <= capacity) | (F.col("depth") == max_depth))
     )
-    reached = levels.withColumn("prefix", prefix).join(full, ["depth", "prefix"])
-    return reached.groupBy("slot").agg(F.min(F.struct("depth", "prefix")).alias("leaf")).select(
-        "slot",
-        F.format_string("%02d-%d", F.col("leaf.depth"), F.col("leaf.prefix")).alias("bucket"),
-        F.col("leaf.depth").alias("depth"),
+    # Fewer than 2 ** (max_depth + 1) rows.
+    reached = levels.withColumn("prefix", prefix).join(F.broadcast(full), ["depth", "prefix"])
+    return reached.groupBy("slot").agg(F.min("depth").alias("depth")).select(
+        "slot", F.format_string("%02d-%d", F.col("depth"), prefix).alias("bucket"), "depth"
     )
 
 
