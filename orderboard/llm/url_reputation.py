@@ -115,9 +115,12 @@ def host_reputation(outcomes: DataFrame, max_rate: float = MAX_RATE, z: float =
     def summed(*by: str) -> DataFrame:
         return counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    suffixes = _shrunk(summed("suffix").withColumn("above", overall), ["suffix"])
-    domains = _shrunk(summed("domain", "suffix").join(suffixes, "suffix"), ["domain"])
-    hosts = counts.join(domains, "domain")
+    # Each level is read twice, for its strength and for its rates.
+    by_suffix = stored(summed("suffix").withColumn("above", overall), "url-suffixes")
+    suffixes = _shrunk(by_suffix, ["suffix"])
+    by_domain = stored(summed("domain", "suffix").join(suffixes, "suffix"), "url-domains")
+    domains = _shrunk(by_domain, ["domain"])
+    hosts = stored(counts.join(domains, "domain"), "url-host-priors")
     strength = _strength(hosts)
     a = strength * F.col("above") + F.col("bad")
     b = strength * (1 - F.col("above")) + F.col("n") - F.col("bad")
