@@ -1,0 +1,439 @@
+"""Each operator on small tables with NULLs, empty and long texts, ties, repeated
+rows, no rows and columns whose names clash with the operators' own."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from orderboard.llm import (
+    components,
+    crc32c,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    packing,
+    record_files,
+    sampling_fingerprint,
+    tokens,
+    toxicity,
+    url_reputation,
+)
+from orderboard.scratch import shared_folder
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, hash string, row string"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def near_copies(rnd, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rnd = random.Random(5)
+    base = [rnd.choice(WORDS) for _ in range(120)]
+    out = [" ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(1, 90))) for _ in range(25)]
+    out += [near_copies(rnd, base, e) for e in (0, 0, 1, 1, 2, 3, 4, 5, 8, 12)]
+    out += [None, "", " \t", "one", "one  two", "one two", "One\ttwo", " ".join(base * 150)]
+    out += ["a common line of some length\n" + t for t in ("first", "second", "third", "A Common LINE of some length ")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, 1, 2, "h", "r") for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, texts[4], None, None, None, None, None, None), (None, None, *[None] * 6)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_mixing(docs, none, texts):
+    rows = mixing.with_copies(docs).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["row"]["text"] or ""))
+        sizes[r["row"]["source"]] += r["size"]
+    target = dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), [5, 2, 1, 5], strict=True))
+    total, stopped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[s] for s in stopped)
+        share = {s: rest * w / sum(v for k, v in target.items() if k not in stopped) for s, w in target.items() if s not in stopped}
+        above = {s for s, x in share.items() if x > 3 * sizes[s]}
+        if not above:
+            break
+        stopped |= above
+    for r in rows:
+        s = r["row"]["source"]
+        assert r["source_size"] == sizes[s]
+        assert r["target"] == pytest.approx(3 * sizes[s] if s in stopped else share[s])
+        assert 0 <= r["copies"] <= 3
+    mixed = mixing.mix(docs)
+    assert mixed.schema == docs.schema
+    assert Counter(map(str, mixed.collect())) == Counter(str(r["row"]) for r in rows for _ in range(r["copies"]))
+    assert mixing.mix(none).count() == 0
+
+
+def test_exact_dedup(spark, docs, none):
+    groups = defaultdict(list)
+    for r in docs.collect():
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")].append(r["doc_id"])
+    for collide in (False, True):
+        same = (lambda c: exact_dedup.F.length(c).cast("long") * 0) if collide else exact_dedup.F.xxhash64
+        got = exact_dedup.memberships(docs, same, capacity=2, max_depth=6).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"], r["keep_id"], r["group_size"]) for r in got if r["doc_id"] is not None) == sorted(
+            (False, i, min(x for x in ids if x is not None), len(ids)) for ids in groups.values() for i in ids if i is not None
+        )
+        if collide:
+            assert len({(r["chain"]) for r in got}) == len(groups)
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.schema == docs.schema and kept.count() == len(groups)
+    assert exact_dedup.drop_duplicates(none).count() == 0
+    assert exact_dedup.memberships(none).count() == 0
+
+
+def test_directory_splits_only_full_buckets(spark):
+    hashes = spark.range(64).selectExpr("shiftleft(id % 8, 61) + id AS hash").unionByName(
+        spark.range(200).selectExpr("id AS hash")
+    )
+    rows = exact_dedup.directory(hashes, capacity=20, max_depth=4).collect()
+    depth = {r["slot"]: r["depth"] for r in rows}
+    assert depth[0] == 4  # 200 hashes that no prefix parts
+    assert depth[8] == 2 and depth[14] == 2
+
+
+def brute_components(rows, rule):
+    sets = []
+    for r in rows:
+        w = (r["text"] or "").encode().lower().split()
+        n = min(rule.size, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= rule.percent * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r["doc_id"] is not None:
+            least[find(i)] = min(r["doc_id"], least.get(find(i), 10**9))
+    return [(r["doc_id"], len(sets[i]), least.get(find(i))) for i, r in enumerate(rows)], {find(i) for i in range(len(rows))}, sets
+
+
+@pytest.mark.parametrize("rule", [jaccard_join.Rule(3, 90), jaccard_join.Rule(5, 80), jaccard_join.Rule(1, 60)])
+def test_jaccard_join(docs, none, rule):
+    rows = docs.collect()
+    want, groups, sets = brute_components(rows, rule)
+    got = jaccard_join.memberships(docs, rule).collect()
+    key = str
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
+    one = jaccard_join.keep_one_each(docs, rule)
+    assert one.columns == docs.columns
+    assert one.count() == len(groups)
+    assert jaccard_join.memberships(none, rule).count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_linked_sets_share_a_region(percent):
+    rnd, rule = random.Random(percent), jaccard_join.Rule(3, percent)
+    for n in [*range(1, 60), 100, 333, 700]:
+        for _ in range(6):
+            a = set(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64).tolist())
+            b = set(a)
+            for _ in range(rnd.randrange(0, n // 3 + 2)):
+                (b.discard(rnd.choice(sorted(b))) if b and rnd.random() < 0.5 else b.add(rnd.getrandbits(64)))
+            x, y = (np.unique(np.array(sorted(s), np.uint64)) for s in (a, b))
+            if a != b and a and b and rule.link(x, y):
+                assert set(rule.keys(x).tolist()) & set(rule.keys(y).tolist())
+
+
+def test_window_join_loses_nothing():
+    rnd, rule = np.random.default_rng(1), jaccard_join.Rule(3, 80)
+    sets = [rnd.integers(0, 2**63, 60, dtype=np.uint64) for _ in range(8)]
+    sets = [np.unique(np.r_[s[i % 7 :], rnd.integers(0, 2**63, i % 7, dtype=np.uint64)]) for s in sets for i in range(30)]
+    sketch = np.frombuffer(b"".join(map(jaccard_join.sketch_of, sets)), np.uint64).reshape(len(sets), -1)
+    n, root = np.array([len(s) for s in sets]), np.arange(len(sets))
+    found = set()
+    for x, y in jaccard_join.window_join(sketch, n, root, rule, np.arange(len(sets)), leaf=16):
+        found |= {(min(i, j), max(i, j)) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if rule.link(sets[i], sets[j])}
+    assert want and want <= found
+
+
+def test_components(spark):
+    edges = [(b"%03d" % i, b"%03d" % (i + 1)) for i in range(0, 40) if i % 10 != 9] + [(b"500", b"500")]
+    got = components.components(spark.createDataFrame(edges, "u binary, v binary")).collect()
+    assert {bytes(r["node"]): bytes(r["root"]) for r in got} == {b"%03d" % i: b"%03d" % (i // 10 * 10) for i in range(40)}
+
+
+def test_line_dedup(docs, none):
+    rows = docs.collect()
+    held = defaultdict(list)
+    for r in rows:
+        for k in {line_dedup.line_key(x) for x in (r["text"] or "").split("\n")}:
+            if len(k) >= 20:
+                held[k].append(r["doc_id"])
+    last = {k: max((i for i in ids if i is not None), default=None) for k, ids in held.items() if len(ids) >= 3}
+    want = Counter()
+    for r in rows:
+        lines = (r["text"] or "").split("\n")
+        left = [x for x in lines if last.get(line_dedup.line_key(x), r["doc_id"]) == r["doc_id"]]
+        want[r["doc_id"], len(lines), len(lines) - len(left), "\n".join(left)] += 1
+    for bits in (1 << 16, 1 << 20):
+        got = line_dedup.drop_repeated_lines(docs, max_bits=bits).collect()
+        assert Counter((r["row"]["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == want
+    assert sum(k[2] for k in want) > 0
+    assert line_dedup.drop_repeated_lines(none).count() == 0
+
+
+def library_ids(text):
+    tokenizer = Tokenizer.from_file(tokens.default_vocabulary())
+    tokenizer.encode_special_tokens = True
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_tokens_are_the_librarys():
+    rnd, encode = random.Random(2), tokens.PieceEncoder(tokens.default_vocabulary()).encode
+    parts = ["a", "The", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "'s", "12", "é", "中", "😀", "½", "<|endoftext|>", ".", "́"]
+    for _ in range(300):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(14)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == library_ids(text)
+
+
+def test_packing(docs, none):
+    rows = docs.collect()
+    want = Counter((r["doc_id"], tuple([*library_ids(r["text"]), 1])) for r in rows)
+    got = packing.pack(docs, length=256, docs_per_group=20).collect()
+    assert packing.pack(none).count() == 0
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"] > 0
+        pieces[r["doc_id"]] += [(r["start"], ids)]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for doc_id, found in pieces.items():
+        if sum(n for (i, _), n in want.items() if i == doc_id) == 1:
+            whole = [t for _, ids in sorted(found) for t in ids]
+            assert (doc_id, tuple(whole)) in want
+    assert sum(r["length"] for r in got) == sum(len(k[1]) * n for k, n in want.items())
+    for found in sequences.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 256
+
+
+def test_pack_lengths_is_first_fit_decreasing_and_tight():
+    rnd = random.Random(3)
+    lengths = [rnd.randrange(0, 5000) for _ in range(700)]
+    rests = [(d, 0, n % 2048) for d, n in enumerate(lengths) if n % 2048]
+    plain: list[list] = []
+    for piece in sorted(rests, key=lambda p: (-p[2], p[0])):
+        for bin_ in plain:
+            if sum(p[2] for p in bin_) + piece[2] <= 2048:
+                bin_.append(piece)
+                break
+        else:
+            plain.append([piece])
+    assert packing.first_fit_decreasing(rests, 2048) == plain
+    packed = packing.pack_lengths(lengths)
+    covered = Counter((d, i) for s in packed for d, start, n in s for i in (start, start + n - 1))
+    assert sum(p[2] for s in packed for p in s) == sum(lengths) and covered
+    assert packing.padding(sum(p[2] for p in s) for s in packed) < 0.01 * sum(lengths)
+
+
+def test_crc32c():
+    def slow(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = (c >> 1) ^ (crc32c.POLYNOMIAL if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    strings = [b"", b"123456789", bytes(64), *(random.Random(i).randbytes(i * 7) for i in range(40))]
+    assert crc32c.crc32c(strings).tolist() == [slow(s) for s in strings]
+    assert crc32c.crc32c([b"123456789"])[0] == 0xE3069283
+
+
+def test_record_files(spark, docs, none):
+    out = shared_folder(spark, "records")
+    record_files.write_records(docs, out, bytes_per_file=20_000)
+    index = record_files.read_index(spark, out)
+    read = record_files.read_records(record_files.in_file_order(index), out)
+    starts = {r["of_part"]: r["before"] for r in record_files.file_starts(index).collect()}
+    got = sorted((starts[r["part"]] + r["first"], r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in read.collect())
+    at, order = 0, sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or ""))
+    for (start, doc_id, n, ids), r in zip(got, order, strict=True):
+        want = np.array([*library_ids(r["text"]), 0], "<u4")
+        assert (start, doc_id, n) == (at, r["doc_id"], len(want)) and ids == want.tobytes()
+        at += n
+    shuffled = record_files.read_records(index.orderBy(record_files.F.xxhash64("offset")), out)
+    assert Counter(bytes(r["ids"]) for r in shuffled.collect()) == Counter(x[3] for x in got)
+    empty = shared_folder(spark, "records")
+    record_files.write_records(none, empty)
+    assert record_files.read_index(spark, empty).count() == 0
+
+
+def test_a_damaged_record_is_found():
+    whole = record_files.frames([b"abcd", b"efghijkl"])
+    assert record_files.payloads(whole) == [b"abcd", b"efghijkl"]
+    for at in (0, 9, 13, len(whole[1]) - 1):
+        bad = bytearray(whole[1])
+        bad[at] ^= 1
+        with pytest.raises(record_files.CorruptRecord):
+            record_files.payloads([whole[0], bytes(bad)])
+
+
+def test_toxicity_learns_sentences_from_documents(spark, none):
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        sentences = [" ".join(rnd.choice(WORDS[:60]) for _ in range(6)) for _ in range(rnd.randrange(1, 8))]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            sentences[rnd.randrange(len(sentences))] += f" vile{rnd.choice('abcdef')}"
+        rows.append((i, ". ".join(sentences)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame([*rows, (None, None), (900, "")], "doc_id long, text string")
+    known = spark.createDataFrame([*labels[:200], (None, 1), (5000, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    got = {r["row"]["doc_id"]: r for r in toxicity.score_documents(docs, model).collect()}
+    right = sum((got[i]["score"] >= 0.7) == bool(t) for i, t in labels[200:])
+    assert right >= 97
+    assert got[900]["score"] < 0.1 and got[None]["score"] == got[900]["score"]
+    text = dict(rows)
+    hits = [text[i][s["begin"] : s["end"]] for i, t in labels[200:] if t for s in got[i]["sentences"]]
+    assert hits and all("vile" in h for h in hits)
+    left = toxicity.drop_toxic(docs, known)
+    assert left.columns == docs.columns and 200 < left.count() < 240
+    assert toxicity.drop_toxic(none, known).count() == 0
+    assert toxicity.train(docs, known.limit(0)).weights == {}
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a<b) x("</p>")</script></head><body class="no-sidebar">
+<nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
+%s<h1>Head &amp; more</h1><p>First <b>bo</b>ld  a<br>b <a href=x>link</a>.<div class="ad">Buy now buy now</div>
+<p>Second&#233; a < b</p><form><label>Mail</label></form><aside>Read too</aside>%s
+<section class="comments"><p>Nice said a reader</p></section><footer>(c)</footer></body></html>"""
+
+
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>")])
+def test_html_main_text(spark, tags):
+    pages = [(i, "u", PAGE % t) for i, t in enumerate([("<article>", "</article>")] * 5)]
+    pages += [(7, None, None), (8, "u", ""), (9, "u", "<nav>only a menu</nav>"), (10, "u", "<article><p>cut <b"), (11, "u", PAGE % tags)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["row"]["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got[0] == got[11] == "Head & more First bold a b link. Secondé a < b"
+    assert got[7] == got[8] == got[9] == "" and got[10] == "cut"
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_fingerprints(spark, docs, none):
+    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    got = sampling_fingerprint.fingerprint_edits(docs).collect()
+    assert len(got) == len(rows)
+    by_id = defaultdict(list)
+    for r in got:
+        by_id[r["doc_id"]].append(r)
+    text = {r["doc_id"]: r["text"] or "" for r in rows}
+    ids = sorted(i for i in text if i is not None)
+    for i, following in zip(ids, ids[1:], strict=False):
+        if len(by_id[i]) > 1 or following == 3:
+            continue
+        cut = len(text[i]) // 4
+        edit = text[i][: len(text[i]) - cut] + text[following][:cut]
+        assert by_id[i][0]["edited_sha256"] == __import__("hashlib").sha256(edit.encode()).hexdigest()
+        assert by_id[i][0]["n_chars"] == len(text[i])
+    same = {}
+    for r in got:
+        if r["doc_id"] is not None:
+            assert same.setdefault(text[r["doc_id"]].lower().split().__str__(), r["fingerprint"]) == r["fingerprint"]
+    one = docs.filter("doc_id = 5").limit(1)
+    alone = sampling_fingerprint.fingerprint_edits(one).first()
+    assert alone["near_next"] == 1.0
+    assert sampling_fingerprint.fingerprint_edits(none).count() == 0
+
+
+def test_collision_rate_is_the_generalised_jaccard(spark):
+    a, b = "x x x y z z q", "x y y z z z p"
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    prints = [r["fingerprint"] for r in sampling_fingerprint.fingerprints(df, samples=128).orderBy("doc_id").collect()]
+    cut = [[p[i : i + 8] for i in range(0, len(p), 8)] for p in prints]
+    rate = sum(x == y for x, y in zip(*cut, strict=True)) / 128
+    p, q = Counter(a.split()), Counter(b.split())
+    true = sum((p & q).values()) / sum((p | q).values())
+    assert abs(rate - true) < 0.15
+
+
+URLS = [
+    ("http://a.example.org/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
+    ("https://EXAMPLE.org/en/12#t", "example.org", "/en/12", "example.org/en/1", "block"),
+    ("https://example.org/en/2", "example.org", "/en/2", "org/", "allow"),
+    ("http://x.com/fr/", "x.com", "/fr/", "com/fr/", "allow"),
+    ("http://x.com/de/u://v", "x.com", "/de/u://v", "com/de/", "block"),
+    ("http://notorg/", "notorg", "/", None, "allow"),
+    ("http://b.org", "b.org", "", None, "allow"),
+    ("no scheme", "", "", None, "allow"),
+    (None, "", "", None, "allow"),
+]
+
+
+def test_url_rules(spark):
+    df = spark.createDataFrame([(i, u[0], "h", "x") for i, u in enumerate(URLS)], "page_id long, url string, host string, rule string")
+    got = {r["row"]["page_id"]: tuple(r)[1:5] for r in [r for r in url_reputation.judge_urls(df).collect()]}
+    by = {r["row"]["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_reputation.judge_urls(df).collect()}
+    assert got and by == {i: u[1:] for i, u in enumerate(URLS)}
+    assert url_reputation.allowed_pages(df).columns == df.columns
+    assert url_reputation.judge_urls(df.limit(0)).count() == 0
+
+
+def test_reputation_shrinks_to_the_domain(spark):
+    rows = [("a.bad.com", True)] * 40 + [("b.bad.com", True)] * 40 + [("c.bad.com", None)] + [("a.good.com", False)] * 60
+    rows += [("new.net", None)] + [(f"h{i}.mid.com", i % 2 == 0) for i in range(20)]
+    got = {r["host"]: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, block boolean")).collect()}
+    assert got["a.bad.com"]["blocked"] and not got["a.good.com"]["blocked"] and not got["new.net"]["blocked"]
+    assert got["c.bad.com"]["rate"] > 0.9 > got["new.net"]["rate"] > got["a.good.com"]["rate"]
+
+
+def test_stages_of_the_pipeline(spark, texts, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    rows = [(i, t, "en", f"s{i % 3}", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns, name
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+        if name == "jaccard_join":
+            copies, groups, _ = brute_components(docs.collect(), corpus_pipeline.NEAR)
+            assert len(groups) == len(copies) < len(texts)
+    packed = corpus_pipeline.run(spark, folder)
+    assert packed.agg({"length": "sum"}).first()[0] == sum(len(library_ids(r["text"])) + 1 for r in docs.collect())
+    assert zlib.crc32(b"") == 0
