@@ -246,7 +246,11 @@ FROM orders_ WHERE strftime(order_date, '%Y') = '1997' GROUP BY 1, 2"""),
     ),
     "hr_employee_listing": _with(EMPLOYEE_LISTING),
     "src_csv_employees": _with(EMPLOYEE_LISTING),
-    "sql_quantity_per_category": _with(QUANTITY_PER_CATEGORY),
+    "sql_freight_in_year": """
+        SELECT o_orderpriority AS payment_code, count(*) AS order_count,
+               CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS freight_total,
+               CAST(max(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS freight_max
+        FROM orders WHERE year(o_orderdate) = 1998 GROUP BY o_orderpriority""",
     "sink_report_roundtrip": _with(" FROM lines_per_product", LINES_PER_PRODUCT),
 }
 

@@ -23,10 +23,6 @@ def in_year(df: DataFrame, column: str, year: int) -> DataFrame:
     )
 
 
-def year_text(date: Column) -> Column:
-    return F.date_format(date, "yyyy")
-
-
 def day_text(date: Column) -> Column:
     return F.date_format(date, "dd/MM/yyyy")
 

@@ -20,11 +20,12 @@ def rounded_avg(column: str | Column, places: int = 2) -> Column:
 
 
 def percent(part: Column, total: Column) -> Column:
-    return F.round(part.cast("double") * 100.0 / total.cast("double"), 1)
+    """NULL where the part is NULL or the total is 0."""
+    return F.round(F.try_divide(part.cast("double") * 100.0, total.cast("double")), 1)
 
 
 def percent_text(share: Column) -> Column:
-    return F.format_string("%.1f%%", share)
+    return F.when(share.isNotNull(), F.format_string("%.1f%%", share))
 
 
 def bar_label(value: str | Column) -> Column:

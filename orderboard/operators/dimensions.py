@@ -65,8 +65,6 @@ class Extent(NamedTuple):
 
     fits_broadcast: bool
     keys_per_group: float
-    lowest_key: object
-    highest_key: object
 
 
 def measure_side(side: DataFrame, key: str) -> Extent:
@@ -88,10 +86,8 @@ def measure_side(side: DataFrame, key: str) -> Extent:
     row = side.selectExpr(
         f"{size} AS bytes",
         f"count(1) / greatest({groups}, 1) AS keys_per_group",
-        f"min(`{key}`) AS low",
-        f"max(`{key}`) AS high",
     ).first()
-    return Extent(bounded and row["bytes"] <= limit, row["keys_per_group"], row["low"], row["high"])
+    return Extent(bounded and row["bytes"] <= limit, row["keys_per_group"])
 
 
 def join_then_total(
@@ -117,6 +113,14 @@ def total_then_join(
     return totals.join(dimension, key).groupBy(*by).agg(*_from_totals(measures))
 
 
+def with_fixed_types(totals: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Decimal totals as decimal(38, scale), so that the plan does not show in the schema."""
+    kinds = {f.name: f.dataType for f in totals.schema.fields}
+    return totals.withColumns({
+        n: F.col(n).cast(T.DecimalType(38, kinds[n].scale)) for n in names if isinstance(kinds[n], T.DecimalType)
+    })
+
+
 def total_by_attributes(
     facts: DataFrame,
     dimension: DataFrame,
@@ -134,7 +138,8 @@ def total_by_attributes(
     narrow = dimension.select(key, *[c for c in by if c in dimension.columns and c != key])
     extent = measure_side(narrow, key)
     if within_keys:
-        facts = facts.filter(F.col(key).between(extent.lowest_key, extent.highest_key))
+        low, high = (narrow.select(bound(key)).scalar() for bound in (F.min, F.max))
+        facts = facts.filter(F.col(key).between(low, high))
     joins_first = extent.fits_broadcast and extent.keys_per_group >= KEYS_PER_GROUP
     plan = join_then_total if joins_first else total_then_join
-    return plan(facts, narrow, key, by, measures)
+    return with_fixed_types(plan(facts, narrow, key, by, measures), [m.name for m in measures])

@@ -142,8 +142,10 @@ def kpi_board(
         first_name("product_name", "min_stock", descending=False).alias("least_stock"),
     )
     supplier_cards = supplier_products.agg(first_name("company_name", "row_count").alias("top"))
+    # A sum of sums is wider; the type of the card's sum gives the card's digits.
+    card_sum = products.select(F.sum("unit_price")).schema[0].dataType
     price_mean = F.round(
-        F.col("price_sum") / F.when(F.col("price_count") > 0, F.col("price_count")), 2
+        F.col("price_sum").cast(card_sum) / F.when(F.col("price_count") > 0, F.col("price_count")), 2
     )
     boards = [
         _cards(

@@ -1,8 +1,9 @@
 """Run every report as one batch job.
 
-The reports share four stored rollups, so a run scans order lines three times
-(for sales, total revenue and monthly revenue) and orders three times, however
-many reports it writes. Rollups are tables in the cluster's shared folder: losing an
+The reports share four stored rollups, so over the star-schema tables a run
+scans order lines four times (for sales, total revenue, monthly revenue and the
+suppliers of products) and orders four times (for activity, the calendar, and
+twice for monthly revenue), however many reports it writes. Rollups are tables in the cluster's shared folder: losing an
 executor does not repeat the scans.
 """
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,12 +12,11 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session, which has no other machine, falls back to a
-    temporary folder of its own.
+    Where that is unset it is under the warehouse, which executors share too.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="orderboard-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if base.startswith("file:") and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share, not {base}")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -1,8 +1,12 @@
-"""One Parquet dataset per report."""
+"""One Parquet dataset per report and run; readers follow a pointer to the last good run."""
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderboard.sources.files import read_parquet
@@ -13,11 +17,21 @@ def report_path(folder: str, name: str) -> str:
 
 
 def write_report(report: DataFrame, folder: str, name: str) -> None:
-    """Replace the last dataset of this report."""
-    report.write.mode("overwrite").parquet(report_path(folder, name))
+    """Write a new run of this report and then point to it.
+
+    A run that fails leaves the pointer, and so the last good report, alone. The
+    pointer is a table that only grows; its largest entry counts.
+    """
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    path = report_path(folder, name)
+    report.write.parquet(f"{path}/runs/{run}")
+    spark = report.sparkSession
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
 
 def read_report(
     spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None
 ) -> DataFrame:
-    return read_parquet(spark, report_path(folder, name), schema)
+    path = report_path(folder, name)
+    run = read_parquet(spark, f"{path}/pointer", "run string").select(F.max("run")).first()[0]
+    return read_parquet(spark, f"{path}/runs/{run}", schema)

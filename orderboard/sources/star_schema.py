@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderboard.model import OrderModel
+from orderboard.model import OrderModel, require_columns
 from orderboard.sources.files import read_parquet
 
 # Labels for the two of the five order priorities that stand for known payment codes.
@@ -38,7 +38,11 @@ class StarSchema:
         self._spark, self._folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return read_parquet(self._spark, f"{self._folder}/{name}.parquet", COLUMNS[name])
+        """The declared columns; one that the files lack fails by name, not as NULLs."""
+        path = f"{self._folder}/{name}.parquet"
+        declared = read_parquet(self._spark, path, COLUMNS[name])
+        require_columns(read_parquet(self._spark, path), name, declared.columns)
+        return declared
 
     def orders(self) -> DataFrame:
         return self.table("orders").selectExpr(
@@ -51,12 +55,10 @@ class StarSchema:
         )
 
     def order_lines(self) -> DataFrame:
-        # Quantities are at most 50. Spark sums decimals of up to eight digits as
-        # longs, which halves the cost of totalling them.
         return self.table("lineitem").selectExpr(
             "l_orderkey AS order_id",
             "l_partkey AS product_id",
-            "CAST(l_quantity AS DECIMAL(8,2)) AS quantity",
+            "CAST(l_quantity AS DECIMAL(12,2)) AS quantity",
             "CAST(l_extendedprice AS DECIMAL(12,2)) AS unit_price",
         )
 

@@ -9,18 +9,14 @@ import pytest
 
 from orderboard.operators.shares import share_of_total
 from orderboard.plans import charts, hr
-from orderboard.sources.employees import read_employees, write_employees
+from orderboard.sources.employees import EMPLOYEE_FILE, read_employees, write_employees
 
-HEADER = (
-    "EMPLOYEE_ID,FIRST_NAME,LAST_NAME,EMAIL,PHONE_NUMBER,HIRE_DATE,JOB_ID,SALARY,"
-    "COMMISSION_PCT,MANAGER_ID_x,DEPARTMENT_ID,DEPARTMENT_NAME,MANAGER_ID_y"
-)
+HEADER = ",".join(EMPLOYEE_FILE.fieldNames())
 
-# Jobs in order of first appearance, with their head-counts; five jobs tie at 5.
+# Jobs in order of first appearance, with their head-counts; five jobs tie at 4.
 JOBS = [
-    ("AD_PRES", 1), ("AD_VP", 2), ("IT_PROG", 5), ("FI_MGR", 1), ("FI_ACCOUNT", 5),
-    ("PU_MAN", 1), ("PU_CLERK", 5), ("ST_MAN", 5), ("ST_CLERK", 20), ("SA_MAN", 5),
-    ("SA_REP", 28), ("SH_CLERK", 20),
+    ("OWNER", 1), ("BUYER", 2), ("COOK", 4), ("HOST", 1), ("BAKER", 4), ("DRIVER", 4), ("GUARD", 4),
+    ("WAITER", 10), ("PORTER", 4), ("CHEF", 16), ("BARKEEP", 10),
 ]
 
 
@@ -32,7 +28,7 @@ def employees(spark, tmp_path_factory):
             employee_id += 1
             lines.append(
                 f"{employee_id},Eva,Paz,E{employee_id},5.1,{employee_id % 28 + 1}/07/2017,{job},"
-                f"{2000 + number},{'0.25' if job == 'SA_REP' else ''},"
+                f"{2000 + number},{'0.25' if job == 'CHEF' else ''},"
                 f"{'' if employee_id == 100 else '100.0'},{number % 3 * 10}.0,Area,1.0"
             )
     path = tmp_path_factory.mktemp("csv") / "employees.csv"
@@ -56,31 +52,31 @@ def test_typed_columns(employees):
 
 def test_top_jobs_tie_by_first_appearance(employees):
     assert rows(hr.top_jobs(employees, 4)) == [
-        ("SA_REP", 28), ("ST_CLERK", 20), ("SH_CLERK", 20), ("IT_PROG", 5),
+        ("CHEF", 16), ("WAITER", 10), ("BARKEEP", 10), ("COOK", 4),
     ]
     assert [r[0] for r in rows(hr.top_jobs(employees, 9))][4:] == [
-        "FI_ACCOUNT", "PU_CLERK", "ST_MAN", "SA_MAN", "AD_VP",
+        "BAKER", "DRIVER", "GUARD", "PORTER", "BUYER",
     ]
-    assert rows(hr.max_job_count(employees)) == [(28,)]
+    assert rows(hr.max_job_count(employees)) == [(16,)]
 
 
 def test_shares_are_of_the_rows_shown(employees):
     shares = share_of_total(hr.top_jobs(employees, 4), "employee_count")
     assert [r[2:] for r in rows(shares)] == [
-        (38.4, "38.4%"), (27.4, "27.4%"), (27.4, "27.4%"), (6.8, "6.8%"),
+        (40.0, "40.0%"), (25.0, "25.0%"), (25.0, "25.0%"), (10.0, "10.0%"),
     ]
 
 
 def test_bar_labels(employees):
     labelled = charts.with_bar_labels(hr.top_jobs(employees, 2), "employee_count")
-    assert rows(labelled) == [("SA_REP", 28, "28"), ("ST_CLERK", 20, "20")]
+    assert rows(labelled) == [("CHEF", 16, "16"), ("WAITER", 10, "10")]
 
 
 def test_counts_and_average(employees):
-    assert rows(hr.employee_count(employees)) == [(98,)]
+    assert rows(hr.employee_count(employees)) == [(60,)]
     assert rows(hr.department_count(employees)) == [(3,)]
     total = sum((2000 + i) * count for i, (_, count) in enumerate(JOBS))
-    assert rows(hr.avg_salary(employees))[0][0] == round(Decimal(total) / 98, 2)
+    assert rows(hr.avg_salary(employees))[0][0] == round(Decimal(total) / 60, 2)
     assert hr.employee_listing(employees).columns == HEADER.split(",")
 
 
