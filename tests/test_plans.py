@@ -59,7 +59,7 @@ def test_large_dimension_meets_totals_not_rows(spark, large_dimensions):
     assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == [
         "product_id", "product_id", "product_name",
     ]
-    partial = plan.index("partial_sum(UnscaledValue(quantity#")
+    partial = plan.index("partial_sum(quantity#")
     assert plan.index("SortMergeJoin") < partial < plan.index("l_quantity")
 
 
@@ -68,9 +68,9 @@ def test_revenue_joins_in_the_partitioning_of_the_totals(spark, large_dimensions
     assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == [
         "month_no", "order_id", "order_id",
     ]
-    pushed = [p for p in re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", plan) if "l_orderkey" in p]
-    assert len(pushed) == 1
-    assert "GreaterThanOrEqual(l_orderkey" in pushed[0] and "LessThanOrEqual(l_orderkey" in pushed[0]
+    # The bounds are read when the query runs.
+    for side in (">=", "<="):
+        assert re.search(rf"l_orderkey#\d+L? {side} .*?[Ss]ubquery", plan)
 
 
 def test_year_is_a_pushed_range(spark):
