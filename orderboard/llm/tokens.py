@@ -24,7 +24,7 @@ _PIECE = re.compile(
 )
 
 ID_TYPE = np.dtype("<u4")
-MAX_REMEMBERED = 1_000_000
+MAX_REMEMBERED = 600_000
 MAX_REMEMBERED_PIECE = 40
 
 
@@ -38,7 +38,7 @@ def _byte_letters() -> dict[int, int]:
 class PieceEncoder(dict):
     """The ids of each piece met so far, as little-endian unsigned 32-bit integers.
 
-    At most ``MAX_REMEMBERED`` pieces are kept, about 200 MB. A piece that is one
+    At most ``MAX_REMEMBERED`` pieces are kept, about 120 MB. A piece that is one
     word goes straight to the library's BPE model; any other through its whole
     pipeline.
     """
