@@ -29,9 +29,10 @@ def sent(positions: np.ndarray, bits: int) -> pa.RecordBatch:
     segment = min(SEGMENT, bits)
     at, times = np.unique(positions, return_counts=True)
     of = (at // segment).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(np.r_[of[1:] != of[:-1], True][: len(of)]) + 1
+    starts = np.r_[0, ends][: len(ends)]
     inside = (at % segment).astype("<u4")
-    ranges = list(zip(starts, [*starts[1:], len(at)], strict=True))
+    ranges = list(zip(starts, ends, strict=True))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(of[starts], pa.int64()),
