@@ -15,9 +15,9 @@ then differ in at most ``(a + b) (100 - percent) / (100 + percent)``.
    parts tell nothing; a node with too many of them, or a small one, is copied
    to the regions of its first shingles in hash order instead, one more than may
    differ, which linked sets share as well.
-3. *Pivots.* Regions of one node vanish: two passes over a bounded bit filter
-   drop most before anything is shuffled. In every other region the smallest
-   node is the pivot, and all its nodes are compared with it, exactly. Nodes that
+3. *Pivots.* Regions of one node vanish: names of regions and nodes, 16 bytes a
+   pair, are shuffled once, packed by segment, and only pairs of shared regions
+   come back. In every other region the smallest node is the pivot, and all its nodes are compared with it, exactly. Nodes that
    link are one component, which settles a large group of near copies without
    pairs among them.
 4. *Windows.* Regions that still hold several components are joined within:
@@ -46,12 +46,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderboard.llm import bit_filter
 from orderboard.llm.components import components
 from orderboard.llm.tables import WORD, stored
 
-BITS_PER_KEY = 8
-KEYS_PER_WORD = 2.5  # for each share of shingles that may differ; sizes the filter only
+SEGMENT_BYTES = 32 << 20
+MIN_SEGMENTS = 64
 SKETCH_BITS = 1024
 BLOCK = 2000
 LEAF = 256
@@ -168,64 +167,118 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
-def shared_keys(docs: DataFrame, rule: Rule, max_bits: int = bit_filter.MAX_BITS) -> np.ndarray:
-    """Packed bits, set wherever keys of two documents fall."""
-    spaces = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
-    words = docs.select(F.sum(spaces)).first()[0] or 0
-    bits = bit_filter.size_for(words * KEYS_PER_WORD * (100 - rule.percent) / 100, BITS_PER_KEY, max_bits)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [rule.keys(shingles(t, rule.size)) for t in batch.column("text").to_pylist()]
-            if keys:
-                yield bit_filter.sent((np.concatenate(keys) & np.uint64(bits - 1)).astype(np.int64), bits)
-
-    return bit_filter.repeats(docs.select("text").mapInArrow(fill, bit_filter.SENT), bits)
-
-
-def documents_with_keys(docs: DataFrame, rule: Rule, max_bits: int = bit_filter.MAX_BITS) -> DataFrame:
-    """(doc_id, digest, n, node, keys) of each document, with the keys that may be shared."""
-    filter_ = shared_keys(docs, rule, max_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+def documents_with_keys(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, digest, n, node, mark, keys) of each document; ``mark`` shortens ``node``."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
-        mask = np.uint64(len(seen) * 8 - 1)
         for batch in batches:
             sets = [shingles(t, rule.size) for t in batch.column("text").to_pylist()]
-            keys = []
-            for found in sets:
-                names = rule.keys(found)
-                keys.append(names[bit_filter.holds(seen, (names & mask).astype(np.int64))].view(np.int64))
+            nodes = [node_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("digest"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) for s in sets], pa.binary()),
-                    _lists(keys, pa.int64()),
+                    pa.array(nodes, pa.binary()),
+                    pa.array(np.frombuffer(b"".join(n[:8] for n in nodes), np.int64)),
+                    _lists([rule.keys(s).view(np.int64) for s in sets], pa.int64()),
                 ],
-                names=["doc_id", "digest", "n", "node", "keys"],
+                names=["doc_id", "digest", "n", "node", "mark", "keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    schema = f"doc_id {kind}, digest long, n long, node binary, keys array<long>"
+    schema = f"doc_id {kind}, digest long, n long, node binary, mark long, keys array<long>"
     return stored(read.mapInArrow(describe, schema), "jaccard-documents")
 
 
+def _packed(segment: np.ndarray, keys: np.ndarray, marks: np.ndarray, sure: bool) -> pa.RecordBatch:
+    """A row for each segment: its keys and marks as bytes."""
+    order = np.argsort(segment, kind="stable")
+    segment, keys, marks = segment[order], keys[order], marks[order]
+    ends = np.flatnonzero(np.r_[segment[1:] != segment[:-1], True][: len(segment)]) + 1
+    starts = np.r_[0, ends][: len(ends)]
+    ranges = list(zip(starts, ends, strict=True))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(segment[starts], pa.int64()),
+            pa.array([sure] * len(starts), pa.bool_()),
+            pa.array([keys[a:b].tobytes() for a, b in ranges], pa.binary()),
+            pa.array([marks[a:b].tobytes() for a, b in ranges], pa.binary()),
+        ],
+        names=["segment", "sure", "keys", "marks"],
+    )
+
+
+def _sorted_pairs(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, mark) in order; whether each is its key's first, its last."""
+    order = np.lexsort((marks, keys))
+    keys, marks = keys[order], marks[order]
+    fresh = np.r_[True, (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])][: len(keys)]
+    keys, marks = keys[fresh], marks[fresh]
+    change = keys[1:] != keys[:-1]
+    return keys, marks, np.r_[True, change][: len(keys)], np.r_[change, True][: len(keys)]
+
+
+def shared_pairs(described: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """(key, mark) of the nodes of every region that holds two nodes or more.
+
+    Each batch of documents sends 16 bytes for a pair, in one row for each segment
+    of the keys. Of a key that several nodes of a batch have, only the first and
+    last mark meet those of other batches: two marks already make it shared, so
+    the others are sure, and travel in segments of their own marks. A region of
+    any size so brings at most two marks of each batch to its segment.
+    """
+    pairs = described.select(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    segments = max(MIN_SEGMENTS, -(-16 * pairs // segment_bytes))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            lengths = np.diff(lists.offsets.to_numpy())
+            keys, marks, first, last = _sorted_pairs(
+                lists.flatten().to_numpy(), np.repeat(batch.column("mark").to_numpy(), lengths)
+            )
+            for chosen, by, sure in ((first | last, keys, False), (~(first | last), marks, True)):
+                at = (mixed(by[chosen].view(np.uint64)) % np.uint64(segments)).astype(np.int64)
+                yield _packed(at, keys[chosen], marks[chosen], sure)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+
+        def found(keys: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
+            key, mark, first, last = _sorted_pairs(np.concatenate(keys), np.concatenate(marks))
+            several = ~(first & last)
+            return pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(mark[several])], names=["key", "mark"])
+
+        for batch in batches:
+            for segment, sure, keys, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pair = np.frombuffer(keys, np.int64), np.frombuffer(marks, np.int64)
+                if sure:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["key", "mark"])
+                    continue
+                if segment != now and held[0]:
+                    yield found(*held)
+                    held = ([], [])
+                now = segment
+                for kept, values in zip(held, pair, strict=True):
+                    kept.append(values)
+        if held[0]:
+            yield found(*held)
+
+    sent = described.select("mark", "keys").mapInArrow(
+        send, "segment long, sure boolean, keys binary, marks binary"
+    )
+    met = sent.repartition("segment").sortWithinPartitions("segment")
+    return stored(met.mapInArrow(settle, "key long, mark long"), "jaccard-shared")
+
+
 def regions(described: DataFrame) -> DataFrame:
     """(key, node, n) of every region that holds two nodes or more."""
-    copies = described.select(F.explode("keys").alias("key"), "node", "n")
-    mark = F.xxhash64("node")
-    several = stored(
-        copies.groupBy("key")
-        .agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
-        .filter(F.col("low") != F.col("high"))
-        .select(F.col("key").alias("region")),
-        "jaccard-regions",
+    nodes = stored(
+        described.select("mark", "node", "n").distinct().withColumnRenamed("mark", "of"), "jaccard-nodes"
     )
-    members = copies.join(several, F.col("key") == F.col("region"))
+    members = shared_pairs(described).join(nodes, F.col("mark") == F.col("of"))
     return stored(members.select("key", "node", "n").distinct(), "jaccard-members")
 
 
@@ -356,13 +409,13 @@ def pairs_within(members: DataFrame, rule: Rule, block: int = BLOCK) -> DataFram
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def memberships(docs: DataFrame, rule: Rule | None = None, max_bits: int = bit_filter.MAX_BITS) -> DataFrame:
+def memberships(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """Every document with its component: doc_id, digest, n_shingles, group, component_id.
 
     ``group`` names the component whatever its doc_ids; NULL for texts without words.
     """
     rule = rule or Rule()
-    described = documents_with_keys(docs, rule, max_bits)
+    described = documents_with_keys(docs, rule)
     members = regions(described)
     pivots = stored(members.groupBy("key").agg(F.min("node").alias("pivot")), "jaccard-pivots")
     starred = stored(members.join(pivots, "key").filter(F.col("node") != F.col("pivot")), "jaccard-starred")
@@ -389,7 +442,7 @@ def memberships(docs: DataFrame, rule: Rule | None = None, max_bits: int = bit_f
     roots = stored(components(near.unionByName(more)), "jaccard-roots")
 
     grouped = stored(
-        described.drop("keys").join(roots, "node", "left").select(
+        described.select("doc_id", "digest", "n", "node").join(roots, "node", "left").select(
             "doc_id", "digest", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("group")
         ),
         "jaccard-grouped",

@@ -142,6 +142,21 @@ def brute_components(rows, rule):
     return [(r["doc_id"], len(sets[i]), least.get(find(i))) for i, r in enumerate(rows)], {find(i) for i in range(len(rows))}, sets
 
 
+@pytest.mark.parametrize("segment_bytes", [1 << 10, 1 << 25])
+def test_shared_pairs_are_those_of_keys_with_two_nodes(spark, segment_bytes):
+    rnd = random.Random(3)
+    rows = [(mark, [rnd.randrange(40) if rnd.random() < 0.3 else rnd.randrange(10**9) for _ in range(30)] + [7])
+            for mark in [*range(1, 60), 5, 5, 6]]
+    of = defaultdict(set)
+    for mark, keys in rows:
+        for key in keys:
+            of[key].add(mark)
+    rows += [(99, [])]
+    described = spark.createDataFrame(rows, "mark long, keys array<long>").repartition(4)
+    got = jaccard_join.shared_pairs(described, segment_bytes).collect()
+    assert {tuple(r) for r in got} == {(k, m) for k, ms in of.items() if len(ms) > 1 for m in ms}
+
+
 @pytest.mark.parametrize("rule", [jaccard_join.Rule(3, 90), jaccard_join.Rule(5, 80), jaccard_join.Rule(1, 60)])
 def test_jaccard_join(docs, none, rule):
     rows = docs.collect()
@@ -206,6 +221,8 @@ def test_line_dedup(docs, none):
         assert Counter((r["row"]["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == want
     assert sum(k[2] for k in want) > 0
     assert line_dedup.drop_repeated_lines(none).count() == 0
+    short = docs.filter("length(text) < 10")
+    assert line_dedup.drop_repeated_lines(short).filter("n_dropped = 0").count() == short.count() > 0
 
 
 def library_ids(text):
