@@ -9,7 +9,11 @@ Labelled pages are those whose markup names the article (``article``, else
 ``main``): words inside, outside menus, adverts, comments and the like, are
 content. Where words stand is told by the outermost boilerplate element around
 them, else by whether an article is, else by the block's tag and whether the block
-is mostly links. The weights are log-odds from counts over all labelled pages;
+is mostly links. A class or id makes an element boilerplate only by a whole name,
+such as ``sidebar`` or ``cookie-notice`` but not ``with-sidebar``, and never an
+article. An article inside boilerplate, such as a form around the page, counts as
+one outside it, unless more words of articles stand outside than it has: then it
+is a comment or a teaser. The weights are log-odds from counts over all labelled pages;
 the table of counts has one row for each kind of place and is all that reaches
 the driver.
 
@@ -30,6 +34,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -75,7 +80,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PART = re.compile(r"[^a-z]+")
+_PART = re.compile(r"[a-z]+")
 
 MOST_LINKS = 0.5
 LIMIT = 3.0
@@ -87,6 +92,14 @@ INTERRUPTION = 10.0
 PRIOR_PLAIN, PRIOR_LINKS = (2, 1), (1, 20)
 
 
+class Held(NamedTuple):
+    """An article inside boilerplate."""
+
+    wrapper: tuple[int, str]  # the outermost boilerplate's number, the innermost's kind
+    kind: str  # the outermost boilerplate's
+    article: int  # the article's number
+
+
 @dataclass
 class Block:
     """A run of text that no block element interrupts."""
@@ -95,6 +108,7 @@ class Block:
     place: str
     labelled: bool  # inside an article
     neutral: bool  # boilerplate inside an article
+    held: Held | None = None
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     total: int = 0
@@ -112,31 +126,57 @@ class Block:
 def _kind(tag: str, attributes: str) -> str | None:
     kind = KIND_OF_TAG.get(tag)
     if kind in (None, "article") and tag not in ("body", "html") and "=" in attributes:
+        named = None
         for name, *values in _NAMES.findall(attributes):
             value = "".join(values).lower()
             if name.lower() == "role":
                 kind = ROLES.get(value, kind)
                 continue
-            for part in _PART.split(value):
-                kind = KIND_OF_NAME.get(part, kind)
+            for whole in value.split():
+                parts = _PART.findall(whole)
+                if parts and all(part in KIND_OF_NAME for part in parts):
+                    named = KIND_OF_NAME[parts[-1]]
+        kind = kind or named
     return kind
 
 
-def tokens(page: str) -> Iterator[tuple[str, bool] | Block]:
+def _settle(blocks: list[Block]) -> None:
+    """Makes articles inside boilerplate part of it where longer ones stand outside."""
+    free, held, longest = 0, Counter(), {}
+    for block in blocks:
+        if block.labelled and block.held:
+            held[block.held] += block.total
+        elif block.labelled:
+            free += block.total
+    for article, words in held.items():
+        longest[article.wrapper] = max(words, longest.get(article.wrapper, 0))
+    outside = set()
+    for wrapper in sorted(longest, key=longest.get, reverse=True):
+        if longest[wrapper] > free:
+            outside.add(wrapper)
+            free += sum(words for article, words in held.items() if article.wrapper == wrapper)
+    for block in blocks:
+        if block.held and block.held.wrapper not in outside:
+            block.place, block.labelled, block.neutral = f"in {block.held.kind}", False, True
+
+
+def tokens(page: str) -> list[tuple[str, bool] | Block]:
     """Tags, as (name, inside an article), and blocks of text in page order."""
-    open_: list[tuple[str, str | None, bool]] = []  # name, outermost boilerplate, article around
+    # name, boilerplate (outermost, its number, innermost), article around, the boilerplate around that
+    open_: list[tuple[str, tuple[str, int, str] | None, bool, Held | None]] = []
+    line: list[tuple[str, bool] | Block] = []
     block, links, at = None, 0, 0
 
-    def around() -> tuple[str | None, bool]:
-        return open_[-1][1:] if open_ else (None, False)
+    def around() -> tuple[tuple[str, int, str] | None, bool, Held | None]:
+        return open_[-1][1:] if open_ else (None, False, None)
 
     def current(tag: str) -> Block:
-        boilerplate, article = around()
+        boilerplate, article, held = around()
         if boilerplate:
-            place = f"in {boilerplate}"
+            place = f"in {boilerplate[0]}"
         else:
             place = "in article" if article else ""
-        return Block(tag, place, article and not boilerplate, article and boilerplate is not None)
+        return Block(tag, place, article and not boilerplate, article and boilerplate is not None, held)
 
     def text(piece: str) -> None:
         nonlocal block
@@ -164,9 +204,9 @@ def tokens(page: str) -> Iterator[tuple[str, bool] | Block]:
         if not tracked:
             continue
         if block is not None:
-            yield block
+            line.append(block)
             block = None
-        yield (name, around()[1])
+        line.append((name, around()[1]))
         if closing:
             for depth in range(len(open_) - 1, -1, -1):
                 if open_[depth][0] == name:
@@ -182,15 +222,23 @@ def tokens(page: str) -> Iterator[tuple[str, bool] | Block]:
             open_.pop()
         if name == "hr":
             continue
-        boilerplate, article = around()
+        boilerplate, article, held = around()
         if kind == "article":
+            if boilerplate:
+                held, boilerplate = Held(boilerplate[1:], boilerplate[0], len(line)), None
             article = True
-        elif kind and not boilerplate and not (kind == "header" and article):
-            boilerplate = kind
-        open_.append((name, boilerplate, article))
+        elif kind and boilerplate:
+            boilerplate = (*boilerplate[:2], kind)
+        elif kind and not (kind == "header" and article):
+            boilerplate = kind, len(line), kind
+        open_.append((name, boilerplate, article, held))
     text(page[at:])
     if block is not None:
-        yield block
+        line.append(block)
+    blocks = [item for item in line if isinstance(item, Block)]
+    if any(b.held for b in blocks):
+        _settle(blocks)
+    return line
 
 
 @dataclass(frozen=True)
@@ -220,7 +268,7 @@ def main_text(page: str, weights: Weights) -> list[str]:
     """The blocks of the best region."""
     best, best_range = 0.0, (0, 0)
     total, begin = 0.0, 0
-    line = list(tokens(page))
+    line = tokens(page)
     scores = []
     for item in line:
         if isinstance(item, Block):

@@ -369,6 +369,40 @@ def test_html_main_text(spark, tags):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+ARTICLE = "<article%s><h1>Head</h1><p>First words of the page</p><p>and the last</p></article>"
+WHOLE = "Head First words of the page and the last"
+
+
+@pytest.mark.parametrize(
+    "before, attributes, after",
+    [
+        ('<div class="with-sidebar">', "", "</div>"),
+        ('<div id="search-page">', "", "</div>"),
+        ('<main class="has-banner">', "", "</main>"),
+        ("", ' class="post has-comments"', ""),
+        ("", ' class="post comments"', ""),
+        ('<div role="main" class="sidebar">', "", "</div>"),
+        ('<form><div class="page">', "", "</div></form>"),
+        ('<div class="sidebar">', "", "</div>"),
+        ('<main><h2></h2><div class="banner">', "", "</div></main>"),
+        ("", "", '<section class="comments"><article>I read it</article></section>'),
+        ("", "", '<aside><article class="card">Read too</article></aside>'),
+        ('<div class="cookie-notice">We use cookies</div>', "", ""),
+        ('<div class="widget">', "", '<div class="comments"><article>I read it</article></div></div>'),
+    ],
+)
+def test_names_of_wrappers_keep_the_article(before, attributes, after):
+    page = f"<html><body><nav><a href=x>Menu</a></nav>{before}{ARTICLE % attributes}{after}<footer>(c)</footer></body></html>"
+    assert " ".join(html_text.main_text(page, html_text.Weights())) == WHOLE
+    taught = html_text.count_places(page)
+    assert taught["word", "in article", True] == len(WHOLE.split())
+
+
+def test_articles_of_one_wrapper_stay_together():
+    page = '<div class="sidebar"><article>one two three</article><article>four</article></div>'
+    assert html_text.main_text(page, html_text.Weights()) == ["one two three", "four"]
+
+
 def test_fingerprints(spark, docs, none):
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     got = sampling_fingerprint.fingerprint_edits(docs).collect()
