@@ -22,7 +22,9 @@ tears the article apart.
 
 Defined cases: NULL or empty html, or a page whose every word scores negative,
 has the empty text. Markup that is cut off, unclosed elements and stray end tags
-are accepted. Without any labelled page the prior weights decide. Repeated pages
+are accepted. Scripts, styles, text areas and inner frames are dropped, to the
+end of the page if unclosed; drawings and templates only if closed. The text of
+formulas, objects, canvases and noscript is text like any other. Without any labelled page the prior weights decide. Repeated pages
 count as often as they occur. Extra columns are kept.
 """
 
@@ -49,6 +51,7 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section "
     "summary table tbody td tfoot th thead title tr ul".split()
 )
+ENDS_SVG = BLOCKS - {"title"}
 UNTIL_SIBLING = frozenset("p li td th tr dt dd option".split())
 KIND_OF_TAG = {
     "nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form",
@@ -73,12 +76,13 @@ ROLES = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_MAY_HIDE = re.compile(r"<(?:svg|template)[\s/>]", re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -140,6 +144,26 @@ def _kind(tag: str, attributes: str) -> str | None:
     return kind
 
 
+def _hidden(marks: list[re.Match]) -> dict[int, int]:
+    """The closing mark of each drawing and template by its opening one.
+
+    Those never closed hide nothing; a block element ends an open drawing.
+    """
+    closed, open_ = {}, {"svg": [], "template": []}
+    for at, m in enumerate(marks):
+        name = (m.group(3) or "").lower()
+        if name in ENDS_SVG:
+            open_["svg"].clear()
+        elif name not in open_:
+            continue
+        elif not m.group(2):
+            if name == "template" or not m.group(4).endswith("/"):
+                open_[name].append(at)
+        elif open_[name]:
+            closed[open_[name].pop()] = at
+    return closed
+
+
 def _settle(blocks: list[Block]) -> None:
     """Makes articles inside boilerplate part of it where longer ones stand outside."""
     free, held, longest = 0, Counter(), {}
@@ -188,12 +212,19 @@ def tokens(page: str) -> list[tuple[str, bool] | Block]:
             block.total += n
             block.linked += n if links else 0
 
-    for m in _TOKEN.finditer(page):
+    marks = list(_TOKEN.finditer(page))
+    hidden = _hidden(marks) if _MAY_HIDE.search(page) else {}
+    for i, m in enumerate(marks):
+        if m.start() < at:
+            continue
         text(page[at : m.start()])
         at = m.end()
         name = m.group(3)
         if not name:
             continue
+        if i in hidden:
+            at = marks[hidden[i]].end()
+            continue
         name, closing = name.lower(), bool(m.group(2))
         if name == "a":
             links = 0 if closing else 1

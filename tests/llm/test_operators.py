@@ -403,6 +403,41 @@ def test_articles_of_one_wrapper_stay_together():
     assert html_text.main_text(page, html_text.Weights()) == ["one two three", "four"]
 
 
+@pytest.mark.parametrize(
+    "between, kept",
+    [
+        ('<svg class="i"/>', ""),
+        ("<SVG/>", ""),
+        ("<math/>", ""),
+        ('<svg-icon name="x"></svg-icon>', ""),
+        ("<template-part></template-part>", ""),
+        ("<object-card></object-card>", ""),
+        ("<style-guide></style-guide><script-loader></script-loader>", ""),
+        ('<svg viewBox="0 0 1 1"><path d="M0"/>', ""),
+        ("<svg><path/><p>b</p><svg><text>no</text></svg>", "b"),
+        ("<svg><title>no</title><svg><text>no</text></svg><text>no</text></svg>", ""),
+        ("<template><p>no</p><template>no</template><p>no</p></template>", ""),
+        ("<template>", ""),
+        ('<script>var t = "<template><svg>"</script>', ""),
+        ("<script>no</scripts>no</script >", ""),
+        ("<style>no</style><textarea><p>no</textarea><iframe>no</iframe>", ""),
+        ("<p><math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>", "x=1"),
+        ("<object data=x><p>b</p></object>", "b"),
+        ("<canvas>b</canvas>", "b"),
+        ("<noscript><p>b</p></noscript>", "b"),
+        ("<object>", ""),
+    ],
+)
+def test_elements_without_an_end_drop_nothing(between, kept):
+    page = f"<article><p>a</p>{between}<p>rest of it</p></article>"
+    assert " ".join(html_text.main_text(page, html_text.Weights())) == " ".join(f"a {kept} rest of it".split())
+
+
+def test_raw_text_without_an_end_is_dropped():
+    for name in ("script", "style", "textarea", "iframe"):
+        assert html_text.main_text(f"<article><p>a</p><{name}><p>no", html_text.Weights()) == ["a"]
+
+
 def test_fingerprints(spark, docs, none):
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     got = sampling_fingerprint.fingerprint_edits(docs).collect()
