@@ -1,21 +1,24 @@
-"""Exact deduplication through an extendible-hash index on shared files.
+"""Exact deduplication, and an extendible-hash index of the texts on shared files.
 
 Texts are equal when identical after every run of ASCII white space became one
 space. The work is in three steps.
 
 1. *Records.* Documents are grouped by hash and normalised text, so texts are
    compared byte by byte wherever hashes meet. Each task combines its copies
-   first: a group that holds a third of all rows is one row for each task.
+   first: a group that holds a third of all rows is one row for each task. This
+   plain grouping finds keep_id, group_size and the row that stays;
+   ``drop_duplicates`` is this step alone and builds no index.
 2. *Directory.* Distinct hashes are counted by prefix. A bucket with more than
    ``capacity`` of them is split by doubling the directory, as deep as it takes
    for that bucket; the other buckets stay shallow. Its size is bounded by
    ``2 ** max_depth`` entries.
 3. *Index.* Owner tasks take ranges of hashes, chain the texts that share one,
    and write (bucket, hash, chain, digest, keep_id, group_size) to shared files,
-   one folder for each bucket, so a probe reads only the buckets it needs.
+   one folder for each bucket.
 
-Documents probe the index with their hash and digest; its tables are files in
-the shared folder, so losing an executor repeats a task, not the index.
+``memberships`` joins all documents with the whole index on hash and digest; it
+reads every bucket and does not use the directory. The index's tables are files
+in the shared folder, so losing an executor repeats a task, not the index.
 
 Defined cases: NULL text counts as empty, and empty texts are one group. A NULL
 doc_id comes after all others when the row that stays is chosen. Rows with equal
