@@ -26,6 +26,11 @@ then differ in at most ``(a + b) (100 - percent) / (100 + percent)``.
    by pair. Distances here are of 1024-bit parity sketches, which never exceed
    the sets' own, so nothing that links is lost. What is left is compared exactly.
 
+``memberships`` and ``keep_one_each`` need components only and skip pairs that
+are known to be of one. ``links`` and ``link_counts`` skip none: pivots give way
+to windows over all pairs, and links are counted by distinct sets, weighted by
+their documents.
+
 Regions are cut into blocks, so a task holds at most two blocks; copies and near
 copies meet as stored tables, so a hot region's joins can be split.
 
@@ -459,6 +464,58 @@ def memberships(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     )
 
 
+def links(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """Every two distinct sets that link, once: u, v, docs_u, docs_v.
+
+    u < v are nodes and docs_u and docs_v their documents, so a row stands for
+    ``docs_u * docs_v`` links of documents. Regions and windows are those of
+    ``memberships``, without its pivots, which only settle components: nodes of
+    a region that any window allows are compared. In a group of k sets that all
+    link that is k (k - 1) / 2 rows, as many as there are links.
+    """
+    rule = rule or Rule()
+    return _links(docs, documents_with_keys(docs, rule), rule)
+
+
+def _links(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
+    members = regions(described)
+    sets = node_sets(docs, described, members.select("node").distinct(), rule)
+    # Each node its own root: none of its pairs are settled.
+    rooted = members.join(sets.select("node", "sketch"), "node").withColumn("root", F.col("node"))
+    maybe = pairs_within(stored(rooted, "jaccard-windows"), rule)
+    near = stored(linked(maybe, sets, rule), "jaccard-links")
+    held = stored(described.groupBy("node").agg(F.count(F.lit(1)).alias("docs")), "jaccard-held")
+    u, v = (held.select(F.col("node").alias(c), F.col("docs").alias(f"docs_{c}")) for c in "uv")
+    return near.join(u, "u").join(v, "v").select("u", "v", "docs_u", "docs_v")
+
+
+def link_counts(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """Every document with its links: doc_id, digest, n_shingles, n_links.
+
+    Documents of the same set link with each other; those without words with none.
+    """
+    rule = rule or Rule()
+    described = documents_with_keys(docs, rule)
+    near = stored(_links(docs, described, rule), "jaccard-weighted")
+    ends = near.select(F.col("u").alias("node"), F.col("docs_v").alias("docs")).unionByName(
+        near.select(F.col("v").alias("node"), F.col("docs_u").alias("docs"))
+    )
+    others = stored(ends.groupBy("node").agg(F.sum("docs").alias("others")), "jaccard-others")
+    held = stored(described.groupBy("node").agg(F.count(F.lit(1)).alias("same")), "jaccard-held")
+    counts = stored(
+        held.join(others, "node", "left").select(
+            "node", (F.col("same") - 1 + F.coalesce("others", F.lit(0))).alias("of_node")
+        ),
+        "jaccard-counts",
+    )
+    return described.select("doc_id", "digest", "n", "node").join(counts, "node").select(
+        "doc_id",
+        "digest",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("of_node")).otherwise(F.lit(0)).alias("n_links"),
+    )
+
+
 def keep_one_each(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """One document of each component: the smallest doc_id; texts without words all stay."""
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")

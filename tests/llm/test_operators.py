@@ -170,6 +170,31 @@ def test_jaccard_join(docs, none, rule):
     assert jaccard_join.memberships(none, rule).count() == 0
 
 
+@pytest.mark.parametrize("rule", [jaccard_join.Rule(3, 90), jaccard_join.Rule(5, 80), jaccard_join.Rule(1, 60)])
+def test_jaccard_links(docs, none, rule):
+    rows = docs.collect()
+    _, _, sets = brute_components(rows, rule)
+    counts = [0] * len(rows)
+    pairs, kinds = 0, set()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= rule.percent * len(a | b):
+                counts[i] += 1
+                counts[j] += 1
+                if a != b:
+                    pairs += 1
+                    kinds.add(frozenset((frozenset(a), frozenset(b))))
+    got = jaccard_join.link_counts(docs, rule).collect()
+    want = [(r["doc_id"], len(sets[i]), counts[i]) for i, r in enumerate(rows)]
+    assert max(counts) > 2
+    assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got), key=str) == sorted(want, key=str)
+    near = jaccard_join.links(docs, rule).collect()
+    assert all(r["u"] < r["v"] for r in near) and len({(r["u"], r["v"]) for r in near}) == len(near) == len(kinds)
+    assert sum(r["docs_u"] * r["docs_v"] for r in near) == pairs
+    assert jaccard_join.links(none, rule).count() == jaccard_join.link_counts(none, rule).count() == 0
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_linked_sets_share_a_region(percent):
     rnd, rule = random.Random(percent), jaccard_join.Rule(3, percent)
