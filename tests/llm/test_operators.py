@@ -500,6 +500,31 @@ def test_collision_rate_is_the_generalised_jaccard(spark):
     assert abs(rate - true) < 0.15
 
 
+def test_estimates_at_the_production_setting(spark):
+    """Over many pairs: no bias, and the spread of a binomial of SAMPLES draws."""
+    rnd, n = random.Random(11), 400
+    for share in (8, 9):  # of ten words
+        texts, true = [], []
+        for i in range(n):
+            own = [f"a{i}x{rnd.randrange(10**6)}" for _ in range(20)] * 2
+            other = [w if k % 10 < share else f"b{i}x{k}" for k, w in enumerate(own)]
+            p, q = Counter(own), Counter(other)
+            true.append(sum((p & q).values()) / sum((p | q).values()))
+            texts += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        prints = {r["doc_id"]: r["fingerprint"] for r in sampling_fingerprint.fingerprints(df).collect()}
+        assert {len(p) for p in prints.values()} == {8 * sampling_fingerprint.SAMPLES}
+        off = []
+        for i in range(n):
+            a, b = ([prints[2 * i + j][k : k + 8] for k in range(0, len(prints[2 * i]), 8)] for j in (0, 1))
+            off.append(sum(x == y for x, y in zip(a, b, strict=True)) / len(a) - true[i])
+        likeness = true[0]
+        error = (likeness * (1 - likeness) / sampling_fingerprint.SAMPLES) ** 0.5
+        assert len(set(true)) == 1 and 0.6 < likeness < 0.9
+        assert abs(np.mean(off)) < 4 * error / n**0.5
+        assert 0.85 * error < np.std(off) < 1.15 * error
+
+
 URLS = [
     ("http://a.example.org/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
     ("https://EXAMPLE.org/en/12#t", "example.org", "/en/12", "example.org/en/1", "block"),
