@@ -12,12 +12,14 @@ from orderboard.llm import (
     line_dedup,
     mixing,
     packing,
+    periodic_runs,
     record_files,
     sampling_fingerprint,
     toxicity,
     url_reputation,
+    warc_archives,
 )
-from orderboard.llm.tables import read_table
+from orderboard.llm.tables import SPACE, read_table
 from orderboard.scratch import shared_folder
 
 
@@ -90,6 +92,48 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document by crc32 repeats some of its words to the end."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", mark.alias("mark"), F.floor(mark / 10).alias("g")).withColumn(
+        "words", F.when(F.col("mark") % 10 == 0, F.array_remove(F.split("text", f"{SPACE}+"), ""))
+    )
+    placed = chosen.withColumn("n", F.size("words")).withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END"))
+    sized = placed.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr(
+        "array_join(concat(slice(words, 1, int(a)), slice(flatten(array_repeat("
+        "slice(words, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))), ' ')"
+    )
+    return sized.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_repeats(read_table(spark, folder, "documents")))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("s"), (-r.period).alias("p")))
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    joined = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    digested = found.select("row.doc_id", "runs", longest.alias("best"), joined.alias("lines"), "collapsed")
+    return digested.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    out = shared_folder(spark, "warc")
+    warc_archives.write_archives(read_table(spark, folder, "pages"), out)
+    read = warc_archives.read_archives(spark, out, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,5 +147,7 @@ QUERIES = {
         op8_jaccard_join,
         op9_fingerprints,
         op10_url_filter,
+        op11_periodic_runs,
+        op12_warc_archives,
     )
 }
