@@ -144,9 +144,67 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN reputation USING (host)
 """
 
+WARC_ARCHIVES = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages
+)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                               ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+                        FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM hashed
+"""
+
+PHRASE_STRIPES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+        FROM worded, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)
+), counts AS (
+  SELECT lang, m, phrase, count(*)::BIGINT AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 30
+), parts AS (
+  SELECT lang, f, unnest([array_to_string(w[2:], ' '), array_to_string(w[:len(w) - 1], ' ')]) AS part
+  FROM (SELECT lang, f, string_split(phrase, ' ') AS w FROM counts WHERE m >= 3)
+), longer AS (
+  SELECT lang, part, max(f) AS most FROM parts GROUP BY lang, part
+), open AS (
+  SELECT c.lang, c.phrase, c.f AS a, string_split(c.phrase, ' ') AS w
+  FROM counts c LEFT JOIN longer g ON g.lang = c.lang AND g.part = c.phrase
+  WHERE c.m >= 2 AND NOT coalesce(100 * most >= 80 * c.f, false)
+), cuts AS (
+  SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS k FROM open
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r,
+         ((2000000::HUGEINT * c.a) // (x.f + y.f)::HUGEINT)::BIGINT AS score, k
+  FROM cuts c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 STATEMENTS = {
     "op3_source_mixing": SOURCE_MIXING,
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_line_dedup": LINE_DEDUP,
     "op10_url_filter": URL_FILTER,
+    "op12_warc_archives": WARC_ARCHIVES,
+    "op13_phrase_stripes": PHRASE_STRIPES,
 }

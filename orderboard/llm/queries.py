@@ -13,6 +13,7 @@ from orderboard.llm import (
     mixing,
     packing,
     periodic_runs,
+    phrase_stripes,
     record_files,
     sampling_fingerprint,
     toxicity,
@@ -134,6 +135,10 @@ def op12_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_phrase_stripes(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_stripes.mine(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -149,5 +154,6 @@ QUERIES = {
         op10_url_filter,
         op11_periodic_runs,
         op12_warc_archives,
+        op13_phrase_stripes,
     )
 }
