@@ -2,8 +2,8 @@
 
 Words repeat, so a text is cut where byte-level BPE always cuts, before each
 single space and around other white space, and the library encodes each piece
-once per worker. The ids are those of the text encoded in one call. The strings
-of special tokens are ordinary text.
+once per worker. The ids are those of the text encoded in one call by the library's
+defaults: a text with the string of an added token goes to the library whole.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ class PieceEncoder(dict):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
 
@@ -65,6 +65,9 @@ class PieceEncoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self._added):
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
 

@@ -252,7 +252,6 @@ def test_line_dedup(docs, none):
 
 def library_ids(text):
     tokenizer = Tokenizer.from_file(tokens.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
