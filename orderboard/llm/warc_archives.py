@@ -143,9 +143,11 @@ def record(
 def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary of these records; empty where they are too few or too plain for one.
 
-    The builder wants many samples, so few records are given to it several times.
+    The builder wants many samples, so few records are given to it several times. A
+    dictionary of more than a tenth of the records would cost more than it saves.
     """
     samples = records * -(-MIN_SAMPLES // len(records))
+    size = min(size, max(1 << 10, sum(map(len, records)) // 10))
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -189,7 +191,7 @@ class ArchiveWriter:
 
     def _begin(self) -> None:
         self._file = f"{self._prefix}-{uuid.uuid4().hex}.warc.zst"
-        self._out = self._system.open_output_stream(f"{self._place}/{self._file}")
+        self._out = self._system.open_output_stream(f"{self._place}/{self._file}", compression=None)
         found = build_dictionary([data for _, _, data in self._waiting])
         options = {}
         if found:
@@ -348,7 +350,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True, batch
             for file in batch.column("file").to_pylist():
                 system, place = _open(f"{folder}/archives")
                 rows, held = [], 0
-                with system.open_input_stream(f"{place}/{file}") as source:
+                with system.open_input_stream(f"{place}/{file}", compression=None) as source:
                     for row in records_of(source):
                         rows.append(row)
                         held += 200 + len(row[-1] or b"")
