@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 
 # Fixed value: month names are blank-padded to the longest English one.
 MONTH_NAME_WIDTH = 9
+# Year columns of date columns.
+YEAR_COLUMNS = {"order_date": "order_year"}
 
 
 def in_year(df: DataFrame, column: str, year: int) -> DataFrame:
     """Rows of one calendar year.
 
     A half-open range on the bare column reaches the scan and prunes date
-    partitions; ``year(column) = y`` would do neither.
+    partitions; ``year(column) = y`` would do neither. Where the frame has the
+    column's year, as tables partitioned by it do, that prunes too.
     """
     day = F.col(column)
-    return df.filter(
-        (day >= F.lit(datetime.date(year, 1, 1))) & (day < F.lit(datetime.date(year + 1, 1, 1)))
-    )
+    within = (day >= F.lit(datetime.date(year, 1, 1))) & (day < F.lit(datetime.date(year + 1, 1, 1)))
+    if YEAR_COLUMNS.get(column) in df.columns:
+        within &= F.col(YEAR_COLUMNS[column]) == year
+    return df.filter(within)
 
 
 def day_text(date: Column) -> Column:

@@ -1,6 +1,7 @@
 """Totals of a fact table per attribute of a dimension table.
 
-Two exact plans, for any skew of the key or the attribute:
+Two exact plans, for any skew of the key or the attribute; a measured record of the
+dimension chooses:
 
 * total by key first, so that a hot key becomes one row per map task, join those
   totals to the dimension, and total again by attribute.
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderboard.operators.key_filter import may_match
+
 BROADCAST_LIMIT = "orderboard.broadcast.maxBytes"
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 # Hash-table cost of one row besides the bytes of its strings.
@@ -61,19 +64,35 @@ def _from_totals(measures: Sequence[Measure]) -> list[Column]:
 
 
 class Extent(NamedTuple):
-    """What one pass over the join columns of a side tells."""
+    """What one pass over a dimension's key and attributes tells.
+
+    ``size`` bounds the bytes of a broadcast; -1 where a column's width has no bound.
+    """
+
+    size: int
+    keys: int
+    groups: int
+
+    def joins_first(self, limit: int) -> bool:
+        """Whether to broadcast the dimension and join before totalling."""
+        return 0 <= self.size <= limit and self.keys >= KEYS_PER_GROUP * max(self.groups, 1)
+
+
+# What a dimension is taken for that nobody measured: totals come first, and adaptive
+# execution broadcasts what turns out to be small.
+ASSUMED: Extent | None = None
+
 
-    fits_broadcast: bool
-    keys_per_group: float
+def broadcast_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(BROADCAST_LIMIT, str(DEFAULT_BROADCAST_LIMIT)))
 
 
-def measure_side(side: DataFrame, key: str) -> Extent:
-    """Measure a side before deciding to broadcast it.
+def measure(side: DataFrame, key: str) -> Extent:
+    """Measure a dimension's key and attributes, once, with a job.
 
-    A column whose width this cannot bound counts as too large. Groups, the
-    distinct attributes, are estimated; they only choose between exact plans.
+    Groups, the distinct attributes, are estimated; they only choose between exact
+    plans.
     """
-    limit = int(side.sparkSession.conf.get(BROADCAST_LIMIT, str(DEFAULT_BROADCAST_LIMIT)))
     size = f"count(1) * {ROW_OVERHEAD + VALUE_WIDTH * len(side.columns)}"
     bounded = True
     for field in side.schema.fields:
@@ -83,11 +102,8 @@ def measure_side(side: DataFrame, key: str) -> Extent:
             bounded = False
     attributes = ", ".join(f"`{c}`" for c in side.columns if c != key)
     groups = f"approx_count_distinct(xxhash64({attributes}))" if attributes else "1L"
-    row = side.selectExpr(
-        f"{size} AS bytes",
-        f"count(1) / greatest({groups}, 1) AS keys_per_group",
-    ).first()
-    return Extent(bounded and row["bytes"] <= limit, row["keys_per_group"])
+    row = side.selectExpr(f"{size} AS bytes", "count(1) AS keys", f"{groups} AS groups").first()
+    return Extent(row["bytes"] if bounded else -1, row["keys"], row["groups"])
 
 
 def join_then_total(
@@ -128,18 +144,25 @@ def total_by_attributes(
     by: Sequence[str],
     measures: Sequence[Measure],
     within_keys: bool = False,
+    filter_keys: bool = False,
+    extent: Extent | None = None,
 ) -> DataFrame:
     """Totals of the facts that have a dimension row, per ``by``.
 
-    ``by`` names attributes of the dimension or columns of the facts.
-    ``within_keys`` limits the facts to the dimension's key range; where keys
-    grow over time the scan then skips most row groups.
+    ``by`` names attributes of the dimension or columns of the facts. ``extent`` is
+    what ``measure`` told of the dimension; building the plan runs no job.
+    ``within_keys`` limits the facts to the dimension's key range; where keys grow
+    over time the scan then skips most row groups. ``filter_keys`` tests the facts
+    that would be shuffled against a bounded filter of the dimension's keys, which
+    also serves where keys are scattered.
     """
     narrow = dimension.select(key, *[c for c in by if c in dimension.columns and c != key])
-    extent = measure_side(narrow, key)
+    extent = extent or ASSUMED
+    joins_first = extent is not None and extent.joins_first(broadcast_limit(facts))
     if within_keys:
         low, high = (narrow.select(bound(key)).scalar() for bound in (F.min, F.max))
         facts = facts.filter(F.col(key).between(low, high))
-    joins_first = extent.fits_broadcast and extent.keys_per_group >= KEYS_PER_GROUP
+    if filter_keys and not joins_first:
+        facts = may_match(facts, narrow, key)
     plan = join_then_total if joins_first else total_then_join
     return with_fixed_types(plan(facts, narrow, key, by, measures), [m.name for m in measures])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orderboard.functions.dates import in_year, month_name
 from orderboard.functions.labels import OTHER_PAYMENT, PAYMENT_LABELS, label_codes
 from orderboard.functions.numbers import line_value
-from orderboard.operators.dimensions import total, total_by_attributes
+from orderboard.operators.dimensions import Extent, total, total_by_attributes
 from orderboard.operators.ranking import ordering, ranked
 from orderboard.plans.rollups import summed
 
@@ -74,11 +74,14 @@ def order_lines_per_product(sales: DataFrame, products: DataFrame) -> DataFrame:
     return summed(sold.unionByName(zeros), "product_name", "order_count")
 
 
-def quantity_per_category(sales: DataFrame, categories: DataFrame) -> DataFrame:
+def quantity_per_category(
+    sales: DataFrame, categories: DataFrame, extent: Extent | None = None
+) -> DataFrame:
     """``sales`` by ``category_id``, shown by category name."""
     by_id = summed(sales, "category_id", "quantity_sold")
     return total_by_attributes(
-        by_id, categories, "category_id", ["category_name"], [total("quantity_sold", "quantity_sold")]
+        by_id, categories, "category_id", ["category_name"], [total("quantity_sold", "quantity_sold")],
+        extent=extent,
     )
 
 
@@ -88,11 +91,21 @@ def products_per_supplier(supplier_products: DataFrame) -> DataFrame:
     )
 
 
-def revenue_per_month(order_lines: DataFrame, orders: DataFrame, year: int) -> DataFrame:
+def revenue_per_month(
+    order_lines: DataFrame,
+    orders: DataFrame,
+    year: int,
+    filter_lines: bool = True,
+    extent: Extent | None = None,
+) -> DataFrame:
     """Revenue per month of one year.
 
-    Lines meet only the orders of that year. Unless those are few, both sides
-    are large: lines are totalled by order and joined in that partitioning.
+    Lines meet only the orders of that year: a range of order ids reaches the scan,
+    and before any exchange the lines are tested against a filter of the year's ids.
+    What is left is totalled by order and joined in that partitioning. Where ``extent``
+    (of the largest year's orders) allows a broadcast, lines are joined first. Without
+    ``filter_lines`` the filter is left out, for tables bucketed by ``order_id``,
+    whose lines are not shuffled.
     """
     months = in_year(orders, "order_date", year).select(
         "order_id", F.month("order_date").alias("month_no")
@@ -104,6 +117,8 @@ def revenue_per_month(order_lines: DataFrame, orders: DataFrame, year: int) -> D
         ["month_no"],
         [total("revenue", line_value())],
         within_keys=True,
+        filter_keys=filter_lines,
+        extent=extent,
     )
     return totals.orderBy("month_no").select(
         "month_no", month_name(F.col("month_no")).alias("month_name"), "revenue"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderboard.operators.dimensions import (
+    Extent,
     largest,
     non_null_count,
     row_count,
@@ -23,7 +24,10 @@ from orderboard.operators.dimensions import (
 
 
 def product_sales(
-    order_lines: DataFrame, products: DataFrame, by: Sequence[str] = ("product_name",)
+    order_lines: DataFrame,
+    products: DataFrame,
+    by: Sequence[str] = ("product_name",),
+    extent: Extent | None = None,
 ) -> DataFrame:
     """Sales per product attribute, of lines whose product exists."""
     measures = [
@@ -31,15 +35,18 @@ def product_sales(
         row_count("line_count"),
         non_null_count("order_count", "order_id"),
     ]
-    return total_by_attributes(order_lines, products, "product_id", by, measures)
+    return total_by_attributes(order_lines, products, "product_id", by, measures, extent=extent)
 
 
 def customer_activity(
-    orders: DataFrame, customers: DataFrame, by: Sequence[str] = ("company_name",)
+    orders: DataFrame,
+    customers: DataFrame,
+    by: Sequence[str] = ("company_name",),
+    extent: Extent | None = None,
 ) -> DataFrame:
     """Orders and highest freight per customer attribute or order column."""
     measures = [non_null_count("order_count", "order_id"), largest("max_freight", "freight")]
-    return total_by_attributes(orders, customers, "customer_id", by, measures)
+    return total_by_attributes(orders, customers, "customer_id", by, measures, extent=extent)
 
 
 def order_calendar(orders: DataFrame, *by: str) -> DataFrame:
@@ -52,17 +59,23 @@ def order_calendar(orders: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def supplier_products(products: DataFrame, suppliers: DataFrame) -> DataFrame:
+def supplier_products(
+    products: DataFrame, suppliers: DataFrame, extent: Extent | None = None
+) -> DataFrame:
     """Products per supplier name."""
     measures = [row_count("row_count"), non_null_count("product_count", "product_id")]
-    return total_by_attributes(products, suppliers, "supplier_id", ["company_name"], measures)
+    return total_by_attributes(
+        products, suppliers, "supplier_id", ["company_name"], measures, extent=extent
+    )
 
 
 def with_periods(orders: DataFrame) -> DataFrame:
-    """Orders with the period columns that rollups group on."""
-    return orders.withColumns(
-        {"order_year": F.year("order_date"), "month_no": F.month("order_date")}
-    )
+    """Orders with the period columns that rollups group on.
+
+    A source partitioned by ``order_year`` brings that column along.
+    """
+    periods = {"order_year": F.year("order_date"), "month_no": F.month("order_date")}
+    return orders.withColumns({n: p for n, p in periods.items() if n not in orders.columns})
 
 
 def summed(rollup: DataFrame, key: str, *measures: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from orderboard.model import SCHEMAS, OrderModel
+from orderboard.model import SCHEMAS, OrderModel, reconciled
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -32,8 +32,17 @@ def read_parquet(
     return reader.parquet(path)
 
 
-def read_order_model(spark: SparkSession, folder: str, file_format: str = "parquet") -> OrderModel:
-    """The six tables from ``folder/<table>``."""
+def read_order_model(
+    spark: SparkSession,
+    folder: str,
+    file_format: str = "parquet",
+    tested: Collection[str] = (),
+) -> OrderModel:
+    """The six tables from ``folder/<table>``.
+
+    Parquet types are those of the files: lossy ones are refused by column, or tested
+    by value where ``tested`` names the column.
+    """
     if file_format not in ("parquet", "csv"):
         raise ValueError(f"unknown format {file_format!r}")
 
@@ -41,6 +50,6 @@ def read_order_model(spark: SparkSession, folder: str, file_format: str = "parqu
         path = f"{folder.rstrip('/')}/{table}"
         if file_format == "csv":
             return lambda: read_csv(spark, path, schema)
-        return lambda: read_parquet(spark, path)
+        return lambda: reconciled(read_parquet(spark, path), table, tested)
 
     return OrderModel(**{table: reader(table, schema) for table, schema in SCHEMAS.items()})

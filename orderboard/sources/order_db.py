@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderboard.model import OrderModel, require_columns
+from orderboard.model import OrderModel, reconciled, require_columns
 
 # Table and column names of the database, and ours.
 TABLES = {
@@ -48,17 +48,22 @@ TABLES = {
 }
 
 
-def order_model(read: Callable[[str], DataFrame]) -> OrderModel:
-    """``read`` gives the frame of a database table, from JDBC or an export of it."""
+def order_model(read: Callable[[str], DataFrame], tested: Collection[str] = ()) -> OrderModel:
+    """``read`` gives the frame of a database table, from JDBC or an export of it.
 
-    def reader(source: str, columns: dict[str, str]) -> Callable[[], DataFrame]:
+    Lossy types are refused by column; a number without declared digits arrives as a
+    wide decimal and is let in by value where ``tested`` names its column.
+    """
+
+    def reader(source: str, target: str, columns: dict[str, str]) -> Callable[[], DataFrame]:
         def load() -> DataFrame:
             df = read(source)
             require_columns(df, source, columns)
-            return df.select(*[F.col(theirs).alias(ours) for theirs, ours in columns.items()])
+            ours = df.select(*[F.col(theirs).alias(ours) for theirs, ours in columns.items()])
+            return reconciled(ours, target, tested)
 
         return load
 
     return OrderModel(**{
-        target: reader(source, columns) for source, (target, columns) in TABLES.items()
+        target: reader(source, target, columns) for source, (target, columns) in TABLES.items()
     })

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderboard.model import OrderModel, require_columns
+from orderboard.operators.extents import measured
 from orderboard.sources.files import read_parquet
 
 # Labels for the two of the five order priorities that stand for known payment codes.
@@ -31,6 +32,10 @@ COLUMNS = {
 }
 
 
+# Files whose columns an application has checked: (application id, path).
+_CHECKED: set[tuple[str, str]] = set()
+
+
 class StarSchema:
     """The tables of one folder, ``<folder>/<table>.parquet``."""
 
@@ -38,10 +43,15 @@ class StarSchema:
         self._spark, self._folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """The declared columns; one that the files lack fails by name, not as NULLs."""
+        """The declared columns; one that the files lack fails by name, not as NULLs.
+
+        Footers are opened for that once for each path and application.
+        """
         path = f"{self._folder}/{name}.parquet"
         declared = read_parquet(self._spark, path, COLUMNS[name])
-        require_columns(read_parquet(self._spark, path), name, declared.columns)
+        if (seen := (self._spark.sparkContext.applicationId, path)) not in _CHECKED:
+            require_columns(read_parquet(self._spark, path), name, declared.columns)
+            _CHECKED.add(seen)
         return declared
 
     def orders(self) -> DataFrame:
@@ -118,7 +128,25 @@ class StarSchema:
         )
 
 
+# Measured records by application id and folder.
+_EXTENTS: dict[tuple[str, str], dict] = {}
+
+
 def order_model(spark: SparkSession, folder: str) -> OrderModel:
+    """The model over one folder, with the record of its dimensions.
+
+    They are measured when an application first opens the folder; building reports
+    runs nothing.
+    """
+    model = _unmeasured_model(spark, folder)
+    seen = (spark.sparkContext.applicationId, folder.rstrip("/"))
+    if seen not in _EXTENTS:
+        _EXTENTS[seen] = measured(model)
+    model.extents = _EXTENTS[seen]
+    return model
+
+
+def _unmeasured_model(spark: SparkSession, folder: str) -> OrderModel:
     tables = StarSchema(spark, folder)
     return OrderModel(
         orders=tables.orders,

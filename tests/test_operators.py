@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orderboard.functions.labels import label_codes
 from orderboard.functions.numbers import rounded_avg
 from orderboard.operators import dimensions as dm
+from orderboard.operators import key_filter
 from orderboard.operators.ranking import bottom_n, first_name, ranked, top_bottom, top_n
 
 few = settings(
@@ -95,20 +96,40 @@ def test_bottom_is_the_end_of_the_descending_order(spark, groups, n):
     assert both == [(*r, "top") for r in whole[:n]] + [(*r, "bottom") for r in whole[-n:]]
 
 
-def test_measuring_a_side(spark):
-    spark.conf.set(dm.BROADCAST_LIMIT, "1000")
-    try:
-        small = spark.createDataFrame([(k, "a") for k in range(1, 7)], "k int, n string")
-        assert dm.measure_side(small, "k") == (True, 6.0)
-        wide = spark.createDataFrame([(1, "a" * 2000)], "k int, n string")
-        assert not dm.measure_side(wide, "k").fits_broadcast
-        many = spark.range(100).withColumnRenamed("id", "k")
-        assert dm.measure_side(many, "k") == (False, 100.0)
-        unbounded = spark.createDataFrame([(1, [1])], "k int, n array<int>")
-        assert not dm.measure_side(unbounded, "k").fits_broadcast
-        assert dm.measure_side(small.filter("k > 9"), "k") == (True, 0.0)
-    finally:
-        spark.conf.unset(dm.BROADCAST_LIMIT)
+@few
+@given(facts=FACTS, dimension=DIMENSION, bits=st.sampled_from([4096, 1 << 20]))
+def test_key_filter_loses_no_match(spark, facts, dimension, bits):
+    left = spark.createDataFrame(facts, "k int, v int")
+    right = spark.createDataFrame([(k, n) for k, n in dimension.items()], "k long, n string")
+    passed = rows(key_filter.may_match(left, right, "k", bits))
+    assert Counter(r for r in rows(left) if r[0] in dimension) <= Counter(passed) <= Counter(rows(left))
+
+
+def test_key_filter_drops_most_others(spark):
+    left, right = spark.range(20_000).toDF("k"), spark.range(0, 20_000, 100).toDF("k")
+    assert 200 <= key_filter.may_match(left, right, "k").count() < 3000
+    assert key_filter.may_match(left, right.limit(0), "k").count() == 0
+    texts = left.selectExpr("string(k) AS k")
+    assert 200 <= key_filter.may_match(texts, right.selectExpr("string(k) AS k"), "k").count() < 3000
+    # Keys that hash apart are left to the join.
+    assert key_filter.may_match(texts, right, "k").count() == 20_000
+    # However many keys there are, the field has no more pages than its limit.
+    full = key_filter.field_mask(left, 4096)
+    assert left.limit(1).select(full).first()[0] == 4095
+    assert key_filter.bits_within(100) == 0 and key_filter.bits_within(64 << 20) == 1 << 28
+
+
+def test_measuring_a_dimension(spark):
+    small = spark.createDataFrame([(k, "a") for k in range(1, 7)], "k int, n string")
+    found = dm.measure(small, "k")
+    assert found == (6 * (64 + 2 * 16) + 6, 6, 1) and found.joins_first(1000) and not found.joins_first(100)
+    many = spark.range(100).withColumnRenamed("id", "k")
+    assert dm.measure(many, "k") == (100 * (64 + 16), 100, 1)
+    unbounded = spark.createDataFrame([(1, [1])], "k int, n array<int>")
+    assert not dm.measure(unbounded, "k").joins_first(1 << 40)
+    assert dm.measure(small.filter("k > 9"), "k") == (0, 0, 0)
+    own = spark.createDataFrame([(k, str(k)) for k in range(50)], "k int, n string")
+    assert not dm.measure(own, "k").joins_first(1 << 40)
 
 
 def test_labels(spark):

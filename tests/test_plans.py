@@ -9,8 +9,9 @@ from fixtures import plan_of
 
 import __spark_entry__ as contract
 from orderboard.functions.dates import in_year
+from orderboard.model import SCHEMAS
 from orderboard.operators.dimensions import BROADCAST_LIMIT
-from orderboard.plans import reports, rollups
+from orderboard.plans import reports, rollups, suite
 from orderboard.sources import star_schema
 
 FOLDER = "/root/testdata/sf0.01"
@@ -65,14 +66,60 @@ def test_large_dimension_meets_totals_not_rows(spark, large_dimensions):
 
 def test_revenue_joins_in_the_partitioning_of_the_totals(spark, large_dimensions):
     plan = query_plan(spark, "revenue_per_month")
-    assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == [
-        "month_no", "order_id", "order_id",
-    ]
+    keys = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert [k for k in sorted(keys) if k in ("month_no", "order_id")] == ["month_no", "order_id", "order_id"]
     # The bounds are read when the query runs.
     for side in (">=", "<="):
         assert re.search(rf"l_orderkey#\d+L? {side} .*?[Ss]ubquery", plan)
 
 
+def test_lines_are_filtered_before_any_exchange(spark, large_dimensions):
+    """From the lines' scan up: the filter's join, partial totals, only then an exchange."""
+    model = star_schema.order_model(spark, FOLDER)
+    df = reports.revenue_per_month(model.order_lines, model.orders, 1998)
+    plan = plan_of(df)
+    lines = plan.splitlines()
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "l_orderkey" in x)
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+
+    above, level = [], depth(lines[scan])
+    for line in reversed(lines[:scan]):
+        if depth(line) < level:
+            level = depth(line)
+            above.append(line.strip(" :+-"))
+    names = [re.match(r"\w+", x).group() for x in above if re.match(r"\w+", x)]
+    first = names.index("BroadcastHashJoin")
+    assert "LeftSemi" in above[first] and "getbit" in above[first]
+    assert first < names.index("HashAggregate") < names.index("Exchange") < names.index("SortMergeJoin")
+    unfiltered = reports.revenue_per_month(model.order_lines, model.orders, 1998, filter_lines=False)
+    assert rows_of(df) == rows_of(unfiltered)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_building_reports_runs_no_job(spark):
+    model = star_schema.order_model(spark, FOLDER)
+    employees = star_schema.employees(spark, FOLDER)
+    for table in SCHEMAS:
+        model.table(table)
+    contexts = spark.sparkContext
+    contexts.setJobGroup("building", "building")
+    try:
+        for name, build in contract.queries().items():
+            if name not in contract._llm_queries() and name not in ("src_csv_employees", "sink_report_roundtrip", "suite_status"):
+                build(spark, FOLDER)
+        built = suite.order_reports(spark, model, 1998, 1997) | suite.hr_reports(employees)
+        for name in ("revenue_per_month", "hr_top4_jobs"):  # those without a stored rollup
+            built[name]()
+        assert contexts.statusTracker().getJobIdsForGroup("building") == []
+    finally:
+        contexts.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_year_is_a_pushed_range(spark):
     model = star_schema.order_model(spark, FOLDER)
     plan = plan_of(in_year(model.orders, "order_date", 1998).select("order_id"))
@@ -106,7 +153,7 @@ def test_bucketed_tables_meet_without_a_shuffle(spark, large_dimensions):
         ).saveAsTable(f"bucketed_{table}")
     plan = plan_of(
         reports.revenue_per_month(
-            spark.table("bucketed_order_lines"), spark.table("bucketed_orders"), 1998
+            spark.table("bucketed_order_lines"), spark.table("bucketed_orders"), 1998, filter_lines=False
         )
     )
     assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan) == ["month_no"]

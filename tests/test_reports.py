@@ -16,7 +16,8 @@ D = Decimal
 
 @pytest.fixture(params=["join first", "total first"])
 def m(small, request, monkeypatch):
-    monkeypatch.setattr(dimensions, "KEYS_PER_GROUP", 0 if request.param == "join first" else 1e9)
+    extent = dimensions.Extent(0, 100, 1) if request.param == "join first" else None
+    monkeypatch.setattr(dimensions, "ASSUMED", extent)
     return small
 
 
