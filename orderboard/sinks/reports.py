@@ -1,14 +1,13 @@
-"""One Parquet dataset per report and run; readers follow a pointer to the last good run."""
+"""One Parquet dataset per report and run; readers follow the last committed version."""
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderboard.sinks import versions
 from orderboard.sources.files import read_parquet
 
 
@@ -16,22 +15,32 @@ def report_path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
-def write_report(report: DataFrame, folder: str, name: str) -> None:
-    """Write a new run of this report and then point to it.
+def write_report(report: DataFrame, folder: str, name: str, keep: int | None = None) -> int:
+    """Write a new run of this report, commit it as the next version, return its number.
 
-    A run that fails leaves the pointer, and so the last good report, alone. The
-    pointer is a table that only grows; its largest entry counts.
+    A run that fails commits nothing and leaves the last good report alone. With
+    ``keep`` only that many versions and their runs stay; a reader that started on an
+    older one may lose its files.
     """
-    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
-    path = report_path(folder, name)
-    report.write.parquet(f"{path}/runs/{run}")
+    path, run = report_path(folder, name), uuid.uuid4().hex
     spark = report.sparkSession
-    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+    report.write.parquet(f"{path}/runs/{run}")
+    number = versions.commit(spark, path, run)
+    if keep is not None:
+        for old in versions.prune(spark, path, keep):
+            versions.Folder(spark, f"{path}/runs").remove(old)
+    return number
+
+
+def has_report(spark: SparkSession, folder: str, name: str) -> bool:
+    return versions.latest(spark, report_path(folder, name)) is not None
 
 
 def read_report(
     spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None
 ) -> DataFrame:
     path = report_path(folder, name)
-    run = read_parquet(spark, f"{path}/pointer", "run string").select(F.max("run")).first()[0]
+    run = versions.latest(spark, path)
+    if run is None:
+        raise FileNotFoundError(f"no report {name!r} in {folder}")
     return read_parquet(spark, f"{path}/runs/{run}", schema)
