@@ -83,8 +83,28 @@ def may_match(facts: DataFrame, keys: DataFrame, key: str, bits: int | None = No
     hashed = common_key(facts, keys, key)
     if not bits or hashed is None:
         return facts
+    pages, page, is_set = _lookup(keys, key, hashed, bits)
+    return facts.join(F.broadcast(pages), page & is_set, "left_semi")  # at most FILTER_LIMIT bytes
+
+
+def marked(facts: DataFrame, keys: DataFrame, key: str, name: str, bits: int | None = None) -> DataFrame:
+    """The facts with a boolean ``name``: whether the key may be among ``keys``.
+
+    Equal keys are marked alike in every frame that is marked by the same ``keys``.
+    """
+    bits = configured_bits(facts) if bits is None else bits
+    hashed = common_key(facts, keys, key)
+    if not bits or hashed is None:
+        return facts.withColumn(name, F.lit(True))
+    pages, page, is_set = _lookup(keys, key, hashed, bits)
+    found = facts.join(F.broadcast(pages), page, "left")  # at most FILTER_LIMIT bytes
+    return found.withColumn(name, F.coalesce(is_set, F.lit(False))).drop("filter_page", "filter_words")
+
+
+def _lookup(keys: DataFrame, key: str, hashed: Column, bits: int) -> tuple[DataFrame, Column, Column]:
+    """The pages, the condition that joins one, and whether the key's bit in it is set."""
     position = F.xxhash64(hashed).bitwiseAND(field_mask(keys, bits))
-    pages = bit_pages(keys.filter(F.col(key).isNotNull()), position)
+    pages = bit_pages(keys.filter(F.col(key).isNotNull()), position).toDF("filter_page", "filter_words")
     page, word, bit = _in_page(position)
-    is_set = F.call_function("getbit", F.get("words", word), bit) == 1
-    return facts.join(F.broadcast(pages), (page == F.col("page")) & is_set, "left_semi")  # at most FILTER_LIMIT bytes
+    is_set = F.call_function("getbit", F.get("filter_words", word), bit) == 1
+    return pages, page == F.col("filter_page"), is_set

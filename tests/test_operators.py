@@ -113,6 +113,10 @@ def test_key_filter_drops_most_others(spark):
     assert 200 <= key_filter.may_match(texts, right.selectExpr("string(k) AS k"), "k").count() < 3000
     # Keys that hash apart are left to the join.
     assert key_filter.may_match(texts, right, "k").count() == 20_000
+    marked = key_filter.marked(left, right, "k", "m")
+    assert marked.columns == ["k", "m"] and marked.count() == 20_000
+    assert rows(marked.filter("m").select("k").orderBy("k")) == rows(key_filter.may_match(left, right, "k").orderBy("k"))
+    assert key_filter.marked(left, right, "k", "m", bits=0).filter("m").count() == 20_000
     # However many keys there are, the field has no more pages than its limit.
     full = key_filter.field_mask(left, 4096)
     assert left.limit(1).select(full).first()[0] == 4095
