@@ -21,8 +21,8 @@ Repeated documents get equal scores. Extra columns are kept.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 from math import exp
@@ -46,6 +46,7 @@ THRESHOLD = 0.7
 OFFENDING = 0.5
 PREFIXES = (3, 4, 5, 6)
 MAX_REMEMBERED = 500_000
+BLOCK_WORDS = 500_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -100,51 +101,114 @@ def noisy_or(probabilities: Iterable[float]) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(np.fromiter(probabilities, float), 1 - 1e-12)).sum()))
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], class_weight: Sequence[float]) -> Model:
+class Bags:
+    """Texts as numbers: the distinct words of each sentence, 4 bytes a word.
+
+    Features are numbered too; a word's are a row of ``of_word``, -1 where it has
+    fewer. Texts themselves are not kept.
+    """
+
+    def __init__(self, texts: Iterable[str]) -> None:
+        words: dict[str, int] = {}
+        self.features: dict[str, int] = {}
+        of_word, found = array("i"), array("i")
+        sentences, docs = array("q"), array("q")  # words of a sentence, sentences of a document
+        for text in texts:
+            bag = _SENTENCE.findall(text) or [""]
+            for sentence in bag:
+                held = set(_WORD.findall(sentence.lower()))
+                for word in held:
+                    if (number := words.get(word)) is None:
+                        number = words[word] = len(words)
+                        named = [self.features.setdefault(f, len(self.features)) for f in features(word)]
+                        of_word.extend(named + [-1] * (len(PREFIXES) + 1 - len(named)))
+                    found.append(number)
+                sentences.append(len(held))
+            docs.append(len(bag))
+        self.of_word = np.frombuffer(of_word, np.int32).reshape(-1, len(PREFIXES) + 1)
+        self.words = np.frombuffer(found, np.int32)
+        self.sentence_ends = np.cumsum(np.frombuffer(sentences, np.int64))
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), np.frombuffer(docs, np.int64))
+        self.docs = len(docs)
+
+    def document_counts(self, labels: np.ndarray) -> np.ndarray:
+        """For label 0 and 1 how many documents have each feature."""
+        counts = np.zeros((2, len(self.features)), np.int64)
+        last = np.flatnonzero(np.r_[self.doc[1:] != self.doc[:-1], True][: len(self.doc)])
+        begin = 0
+        for end, label in zip(self.sentence_ends[last].tolist(), labels, strict=True):
+            held = np.unique(self.of_word[self.words[begin:end]])
+            counts[int(label), held[held >= 0]] += 1
+            begin = end
+        return counts
+
+    def hits(self, place: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Which chosen features each sentence has, once each, in blocks of sentences:
+        (first sentence, sentence counted from it, place). ``place`` is -1 for others."""
+        blocks, begin, first = [], 0, 0
+        while first < len(self.doc):
+            last = max(first + 1, int(np.searchsorted(self.sentence_ends, begin + BLOCK_WORDS, "right")))
+            ends = self.sentence_ends[first:last]
+            sentence = np.repeat(np.arange(last - first), np.diff(ends, prepend=begin))
+            named = self.of_word[self.words[begin : int(ends[-1])]]
+            chosen = np.where(named >= 0, place[named], -1)
+            at, column = np.nonzero(chosen >= 0)
+            both = np.unique(sentence[at] << 32 | chosen[at, column])
+            blocks.append((first, (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32)))
+            begin, first = int(ends[-1]), last
+        return blocks
+
+
+def chosen_words(bags: Bags, y: np.ndarray) -> list[str]:
+    """The features whose share of documents differs most between the labels."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    b, a = bags.document_counts(y)
+    p = (a + b) / len(y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    fits = (a + b >= MIN_DOCS) & (p < 1) & (z >= MIN_Z)
+    ranked = sorted((-z[i], f) for f, i in bags.features.items() if fits[i])
+    return [word for _, word in ranked[:MAX_WORDS]]
+
+
+def fit(
+    texts: Iterable[str], labels: Sequence[int], class_weight: Sequence[float], ridge: float = RIDGE
+) -> Model:
     """Maximum likelihood of the noisy-or by Adam, with words chosen by how much
-    more often documents of one label have them."""
-    y = np.asarray(labels, float)
+    more often documents of one label have them.
+
+    Texts are read once, one at a time; sentences are worked on in blocks.
+    """
+    bags, y = Bags(texts), np.asarray(labels, float)
     weight = np.where(y == 1, class_weight[1], class_weight[0])
     if y.min(initial=1) == y.max(initial=0) or not len(y):
         share = float(np.average(y, weights=weight)) if len(y) else 0.0
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model(float(np.log(share / (1 - share))))
-    bags = [
-        [{f for w in set(_WORD.findall(s.lower())) for f in features(w)} for s in _SENTENCE.findall(t)] or [set()]
-        for t in texts
-    ]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, label in zip(bags, labels, strict=True):
-        seen[int(label)].update(set().union(*bag))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    ranked = []
-    for word in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][word], seen[0][word]
-        p = (a + b) / len(y)
-        if a + b >= MIN_DOCS and p < 1:
-            z = abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-            if z >= MIN_Z:
-                ranked.append((-z, word))
-    words = [word for _, word in sorted(ranked)[:MAX_WORDS]]
-    place = {word: i for i, word in enumerate(words)}
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    hits = [[place[w] for w in s if w in place] for b in bags for s in b]
-    row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    col = np.fromiter((i for h in hits for i in h), np.int64, len(row))
+    words = chosen_words(bags, y)
+    place = np.full(max(1, len(bags.features)), -1, np.int32)
+    place[[bags.features[word] for word in words]] = np.arange(len(words))
+    blocks = bags.hits(place)
 
     theta = np.zeros(len(words) + 1)
     theta[-1] = -6.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     total = weight.sum()
     for step in range(1, STEPS + 1):
-        z = np.clip(theta[-1] + np.bincount(row, theta[col], len(hits)), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        clean = np.bincount(doc, np.log1p(-p), len(bags))  # log of 1 - P
+        p = np.full(len(bags.doc), theta[-1])
+        for begin, row, col in blocks:
+            held = np.bincount(row, theta[col])
+            p[begin : begin + len(held)] += held
+        p = 1 / (1 + np.exp(-np.clip(p, -30, 30)))
+        clean = np.bincount(bags.doc, np.log1p(-p), bags.docs)  # log of 1 - P
         toxic = np.maximum(-np.expm1(clean), 1e-12)
         slope = weight * np.where(y == 1, -np.exp(clean) / toxic, 1.0)
-        dz = slope[doc] * p
-        grad = np.append(np.bincount(col, dz[row], len(words)), dz.sum()) / total
-        grad[:-1] += RIDGE * theta[:-1]
+        dz = slope[bags.doc] * p
+        grad = np.append(np.zeros(len(words)), dz.sum())
+        for begin, row, col in blocks:
+            grad[:-1] += np.bincount(col, dz[begin + row], len(words))
+        grad /= total
+        grad[:-1] += ridge * theta[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         theta -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-10)
@@ -169,18 +233,27 @@ def train(
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_label rows
     read = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
     rows = read.join(sample, F.col("doc_id") == F.col("id")).select(
-        F.lit(0).alias("one"), "text", F.col("toxic").cast("long").alias("toxic")
+        "id", F.col("text").alias("text"), F.col("toxic").cast("int").alias("toxic")
     )
     used = {t: max(1, min(per_label, share.get(t, 0))) for t in (0, 1)}
     weight = [share.get(t, 0) / used[t] for t in (0, 1)]
 
-    def fit_sample(rows: pa.Table) -> pa.Table:
-        texts = [t or "" for t in rows.column("text").to_pylist()]
-        model = fit(texts, rows.column("toxic").to_pylist(), weight)
+    def fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[int] = []
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                known.extend(batch.column("toxic").to_pylist())
+                for text in batch.column("text"):
+                    yield text.as_py() or ""
+
+        model = fit(texts(), known, weight)
         names = [None, *model.weights]
-        return pa.table({"word": pa.array(names, pa.string()), "weight": [model.bias, *model.weights.values()]})
+        values = pa.array([model.bias, *model.weights.values()])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), values], names=["word", "weight"])
 
-    fitted = rows.groupBy("one").applyInArrow(fit_sample, "word string, weight double").collect()
+    one_task = rows.repartition(1).sortWithinPartitions("id", "text")
+    fitted = one_task.mapInArrow(fit_sample, "word string, weight double").collect()
     bias = [r["weight"] for r in fitted if r["word"] is None]
     return Model(bias[0] if bias else -30.0, {r["word"]: r["weight"] for r in fitted if r["word"] is not None})
 
