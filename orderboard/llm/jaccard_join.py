@@ -53,6 +53,7 @@ from pyspark.sql import functions as F
 
 from orderboard.llm.components import components
 from orderboard.llm.tables import WORD, stored
+from orderboard.operators.key_filter import marked, may_match
 
 SEGMENT_BYTES = 32 << 20
 MIN_SEGMENTS = 64
@@ -295,7 +296,9 @@ def node_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, rule: Rul
         .select(F.col("one.doc_id").alias("id"), F.col("one.digest").alias("of")),
         "jaccard-wanted",
     )
-    texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").join(
+    texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    # Most texts share no region; they stay out of the exchange.
+    texts = may_match(texts, wanted.select(F.col("of").alias("digest")), "digest").join(
         wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left_semi"
     )
 
@@ -519,24 +522,34 @@ def link_counts(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 def keep_one_each(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """One document of each component: the smallest doc_id; texts without words all stay."""
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")
-    grouped = memberships(docs, rule).filter(F.col("group").isNotNull())
-    kept = stored(
-        grouped.groupBy("group").agg(F.min(rank).alias("one")).select(
-            F.col("one.doc_id").alias("kept_id"), F.col("one.digest").alias("kept_digest")
+    grouped = stored(memberships(docs, rule).filter(F.col("group").isNotNull()), "jaccard-grouped")
+    firsts = stored(
+        grouped.groupBy("group").agg(F.min(rank).alias("one"), F.count(F.lit(1)).alias("held")).select(
+            "group", F.col("one.doc_id").alias("kept_id"), F.col("one.digest").alias("kept_digest"), "held"
         ),
         "jaccard-kept",
     )
+    # Documents alone in their group stay where they are; only the others are looked up.
+    several = firsts.filter("held > 1").select("group")
+    touched = stored(
+        grouped.join(several, "group", "left_semi").select(F.col("digest").alias("kept_digest")), "jaccard-touched"
+    )
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     names = docs.columns
-    rows = docs.filter(worded).select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-        F.col("doc_id").alias("kept_id"),
-        F.xxhash64("text").alias("kept_digest"),
+    rows = marked(
+        docs.filter(worded).select(
+            F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+            F.col("doc_id").alias("kept_id"),
+            F.xxhash64("text").alias("kept_digest"),
+        ),
+        touched, "kept_digest", "touched",
     )
-    match = rows.alias("r").join(
+    kept = marked(firsts.select("kept_id", "kept_digest"), touched, "kept_digest", "touched").filter("touched")
+    match = rows.filter("touched").alias("r").join(
         kept.alias("k"),
         F.col("r.kept_id").eqNullSafe(F.col("k.kept_id")) & (F.col("r.kept_digest") == F.col("k.kept_digest")),
         "left_semi",
     )
     one = match.dropDuplicates(["kept_id", "kept_digest"]).select("row.*")
-    return one.unionByName(docs.filter(~worded))
+    alone = rows.filter("NOT touched").select("row.*")
+    return alone.unionByName(one).unionByName(docs.filter(~worded))
