@@ -30,10 +30,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +51,7 @@ NO_LANGUAGE = "und"
 CHUNK_BYTES = 6 << 20
 FILTER_BITS = 16
 HEAVY = 1000
+SHARES = 64
 
 # Ends of pieces become a byte that UTF-8 never has; A-Z become a-z.
 BOUNDARY = b"\xff"
@@ -81,6 +82,8 @@ class Chunk:
         self.lang = lang
         self.ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
         self.vocabulary = list(numbers)
+        self.spaced = [word + b" " for word in self.vocabulary]
+        self.lengths = np.fromiter(map(len, self.vocabulary), np.int64, len(self.vocabulary))
         self.hashes = word_hashes(lang, self.vocabulary)
         # Words left in the piece from each place on.
         ends = np.flatnonzero(self.ids == 0)
@@ -110,31 +113,42 @@ class Chunk:
             prefix << 32 | self.ids[at + length], return_index=True, return_counts=True
         )
         heads = _heads(both >> 32)
-        names = [self.text(at[i], length) for i in first[heads].tolist()]
+        if length == 1:
+            names = [self.vocabulary[i] for i in self.ids[at[first[heads]]].tolist()]
+        else:
+            names = [self.text(at[i], length) for i in first[heads].tolist()]
         stripe = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(both)]))
         following = both & 0xFFFFFFFF
         split = np.array([not length or (self.lang, name) in heavy for name in names], bool)
-        dealt = (self.hashes[following] % np.uint64(segments)).astype(np.int64)
-        segment = np.where(split[stripe], dealt, 0)
+        segment = np.zeros(len(both), np.int64)
         if split.any():
+            dealt = (self.hashes[following] % np.uint64(segments)).astype(np.int64)
+            segment = np.where(split[stripe], dealt, 0)
             order = np.argsort(stripe * segments + segment, kind="stable")
             stripe, segment, following, counts = (x[order] for x in (stripe, segment, following, counts))
         heads = _heads(stripe * segments + segment)
-        ends = np.r_[heads, len(stripe)][1:]
-        words = [self.vocabulary[i] for i in following.tolist()]
-        cut = list(zip(heads.tolist(), ends.tolist(), strict=True))
+        # Each word has a space behind it, so the words of a row are a slice of one text.
+        behind = np.cumsum(self.lengths[following] + 1)
+        cuts = np.r_[heads, len(stripe)]
+        data = b"".join([self.spaced[i] for i in following.tolist()])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([self.lang] * len(cut), pa.string()),
+                pa.array([self.lang] * len(heads), pa.string()),
                 pa.array([names[i] for i in stripe[heads].tolist()], pa.binary()).cast(pa.string()),
                 pa.array(segment[heads].astype(np.int32)),
-                pa.array([b" ".join(words[a:b]) for a, b in cut], pa.binary()),
-                pa.array([counts[a:b].astype("<i8").tobytes() for a, b in cut], pa.binary()),
+                _slices(data, np.r_[0, behind][cuts]),
+                _slices(counts.astype("<i8").tobytes(), 8 * cuts),
             ],
             names=["lang", "prefix", "segment", "nexts", "counts"],
         )
 
 
+def _slices(data: bytes, cuts: np.ndarray) -> pa.Array:
+    """The parts of ``data`` between neighbouring cuts."""
+    offsets = pa.py_buffer(cuts.astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(data)])
+
+
 def _heads(sorted_keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]][: len(sorted_keys)])
@@ -200,69 +214,71 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield Chunk(lang, texts)
 
 
-class Merged(NamedTuple):
-    """The sum of the stripes of one (lang, prefix, segment)."""
+ENTRY = pa.struct([("next", pa.string()), ("count", pa.int64())])
 
-    lang: str
-    prefix: str
-    segment: int
-    nexts: list[bytes]
-    counts: np.ndarray
 
+def added(batch: pa.RecordBatch, min_count: int, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+    """Rows ``COUNTED``, equal keys together, added elementwise.
 
-def added(rows: list[tuple]) -> Iterator[Merged]:
-    """Rows ``COUNTED``, equal keys together, added elementwise."""
+    Returns rows ``STRIPE``, and unless this is the ``last`` batch the sum of its last
+    key apart, as a row that the next batch may go on with.
+    """
+    keys = [batch.column(name) for name in ("lang", "prefix", "segment")]
+    new = np.zeros(batch.num_rows, bool)
+    for key in keys:
+        new[1:] |= pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+    new[0] = True
     numbers = _Numbers()
-    nexts = [row[3].split(b" ") for row in rows]
-    ids = np.fromiter((numbers[w] for words in nexts for w in words), np.int64)
-    counts = np.concatenate([np.frombuffer(row[4], "<i8") for row in rows])
-    keys = [row[:3] for row in rows]
-    group = np.cumsum([i > 0 and keys[i] != keys[i - 1] for i in range(len(keys))])
-    both = np.repeat(group, [len(words) for words in nexts]) << 32 | ids
+    words = b"".join(batch.column("nexts").to_pylist()).split()
+    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i8")
+    sizes = pc.binary_length(batch.column("counts")).to_numpy() // 8
+    both = np.repeat(np.cumsum(new) - 1, sizes) << 32 | ids
     order = np.argsort(both)
     both = both[order]
     heads = _heads(both)
     sums = np.add.reduceat(counts[order], heads)
-    words = list(numbers)
     of, following = both[heads] >> 32, both[heads] & 0xFFFFFFFF
-    edges = np.r_[_heads(of), len(of)].tolist()
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist()
-    for row, a, b in zip(first, edges[:-1], edges[1:], strict=True):
-        yield Merged(*keys[row], [words[i] for i in following[a:b].tolist()], sums[a:b])
+    first = np.flatnonzero(new)
+    totals = np.add.reduceat(sums, _heads(of))
+    vocabulary, rest, done = list(numbers), None, len(first)
+    if not last:
+        done -= 1
+        mine = of == done
+        nexts = b" ".join([vocabulary[i] for i in following[mine].tolist()]) + b" "
+        rest = pa.RecordBatch.from_arrays(
+            [key.slice(int(first[-1]), 1) for key in keys]
+            + [pa.array([nexts], pa.binary()), pa.array([sums[mine].astype("<i8").tobytes()], pa.binary())],
+            names=batch.schema.names,
+        )
+    kept = (sums >= min_count) & (of < done)
+    held = np.bincount(of[kept], minlength=len(first))[:done]
+    lang, prefix = (key.take(pa.array(first[:done])) for key in keys[:2])
+    # A prefix without a frequent extension matters only for the words of a language.
+    rows = np.flatnonzero((held > 0) | pc.equal(prefix, "").to_numpy(zero_copy_only=False))
+    entries = pa.StructArray.from_arrays(
+        [
+            pa.array([vocabulary[i] for i in following[kept].tolist()], pa.binary()).cast(pa.string()),
+            pa.array(sums[kept], pa.int64()),
+        ],
+        fields=list(ENTRY),
+    )
+    offsets = pa.array(np.r_[0, np.cumsum(held[rows])].astype(np.int32))
+    out = [lang.take(pa.array(rows)), prefix.take(pa.array(rows)), pa.array(totals[rows]), pa.ListArray.from_arrays(offsets, entries)]
+    return pa.RecordBatch.from_arrays(out, names=["lang", "prefix", "total", "extensions"]), rest
 
 
 def merged_stripes(counted: DataFrame, min_count: int) -> DataFrame:
     """Rows ``STRIPE``: the sum of each stripe, entries of at least ``min_count``."""
-    entry = pa.list_(pa.struct([("next", pa.string()), ("count", pa.int64())]))
-
-    def kept(found: list[Merged]) -> pa.RecordBatch:
-        entries = [
-            [{"next": m.nexts[i].decode(), "count": int(m.counts[i])} for i in np.flatnonzero(m.counts >= min_count)]
-            for m in found
-        ]
-        # A prefix without a frequent extension matters only for the words of a language.
-        rows = [(m, e) for m, e in zip(found, entries, strict=True) if e or not m.prefix]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([m.lang for m, _ in rows], pa.string()),
-                pa.array([m.prefix for m, _ in rows], pa.string()),
-                pa.array([int(m.counts.sum()) for m, _ in rows], pa.int64()),
-                pa.array([e for _, e in rows], entry),
-            ],
-            names=["lang", "prefix", "total", "extensions"],
-        )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple] = []  # the stripe that the next batch may go on with
+        rest = None
         for batch in batches:
-            rows = last + list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            if not rows:
-                continue
-            *done, open_ = added(rows)
-            last = [(*open_[:3], b" ".join(open_.nexts), open_.counts.astype("<i8").tobytes())]
-            yield kept(done)
-        if last:
-            yield kept(list(added(last)))
+            if batch.num_rows:
+                found, rest = added(batch if rest is None else pa.concat_batches([rest, batch]), min_count, False)
+                yield found
+        if rest is not None:
+            yield added(rest, min_count, True)[0]
 
     key = ["lang", "prefix", "segment"]
     return counted.repartition(*key).sortWithinPartitions(*key).mapInArrow(merge, STRIPE)
@@ -373,10 +389,12 @@ def mine(
     best = cuts.groupBy("lang", "phrase").agg(
         F.min(F.struct(score("a", "l", "r").alias("score"), "k", "l", "r", "a")).alias("cut")
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.score").withColumn(
-        "rank", F.row_number().over(order)
-    )
-    return ranked.filter(F.col("rank") <= top).join(words, "lang").select(
+    scored = best.select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.score")
+    # The first of each share hold the first of all, so one task ranks SHARES * top at most.
+    share, order = F.pmod(F.hash("phrase"), F.lit(SHARES)), [F.desc("score"), F.desc("a"), "phrase"]
+    for parts in (["lang", share], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+        scored = scored.withColumn("rank", place).filter(F.col("rank") <= top)
+    return scored.join(words, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
