@@ -258,9 +258,12 @@ def shared_pairs(described: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Da
             return pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(mark[several])], names=["key", "mark"])
 
         for batch in batches:
-            for segment, sure, keys, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pair = np.frombuffer(keys, np.int64), np.frombuffer(marks, np.int64)
+            # Packed rows are large: they are read where they lie, not copied together.
+            for segment, sure, *packed in zip(*batch.columns, strict=True):
+                segment, sure = segment.as_py(), sure.as_py()
+                pair = tuple(np.frombuffer(memoryview(p.as_buffer()), np.int64) for p in packed)
                 if sure:
+                    pair = tuple(map(np.copy, pair))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["key", "mark"])
                     continue
                 if segment != now and held[0]:
