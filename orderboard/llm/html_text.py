@@ -9,9 +9,11 @@ Labelled pages are those whose markup names the article (``article``, else
 ``main``): words inside, outside menus, adverts, comments and the like, are
 content. Where words stand is told by the outermost boilerplate element around
 them, else by whether an article is, else by the block's tag and whether the block
-is mostly links. A class or id makes an element boilerplate only by a whole name,
-such as ``sidebar`` or ``cookie-notice`` but not ``with-sidebar``, and never an
-article. An article inside boilerplate, such as a form around the page, counts as
+is mostly links. A class or id makes an element boilerplate by a whole name, such
+as ``sidebar`` or ``cookie-notice``, by its last word, as ``site-footer``, or by its
+first one before a word for a part, as ``comment-list``; layouts such as
+``with-sidebar`` or ``search-page`` don't, and an article is never boilerplate by
+its name. An article inside boilerplate, such as a form around the page, counts as
 one outside it, unless more words of articles stand outside than it has: then it
 is a comment or a teaser. The weights are log-odds from counts over all labelled pages;
 the table of counts has one row for each kind of place and is all that reaches
@@ -69,6 +71,14 @@ KIND_OF_NAME = {
     **dict.fromkeys("share sharing social".split(), "share"),
     **dict.fromkeys("search login signup".split(), "form"),
 }
+# Words around those in a name: of a layout, of the article's own parts, of any part.
+LAYOUT = frozenset("with without has no is".split())
+OWN = frozenset("article post entry story content main section chapter".split())
+OWN_BOILERPLATE = frozenset("comments advert share".split())
+PARTS = frozenset(
+    "list item items section container wrapper slot box block unit area button buttons bar links link icons "
+    "posts articles thread body text content author meta form panel group inner row".split()
+)
 ROLES = {
     "navigation": "menu", "banner": "header", "contentinfo": "footer", "complementary": "sidebar", "search": "form",
     "dialog": "notice", "alert": "notice", "main": "article", "article": "article",
@@ -127,6 +137,17 @@ class Block:
         return self.place or self.by_tag()
 
 
+def _named(name: str) -> str | None:
+    """The kind of boilerplate that one class or id names."""
+    parts = _PART.findall(name)
+    if not parts or parts[0] in LAYOUT:
+        return None
+    first, last = KIND_OF_NAME.get(parts[0]), KIND_OF_NAME.get(parts[-1])
+    if last:
+        return last if last in OWN_BOILERPLATE or OWN.isdisjoint(parts) else None
+    return first if parts[-1] in PARTS else None
+
+
 def _kind(tag: str, attributes: str) -> str | None:
     kind = KIND_OF_TAG.get(tag)
     if kind in (None, "article") and tag not in ("body", "html") and "=" in attributes:
@@ -137,9 +158,7 @@ def _kind(tag: str, attributes: str) -> str | None:
                 kind = ROLES.get(value, kind)
                 continue
             for whole in value.split():
-                parts = _PART.findall(whole)
-                if parts and all(part in KIND_OF_NAME for part in parts):
-                    named = KIND_OF_NAME[parts[-1]]
+                named = _named(whole) or named
         kind = kind or named
     return kind
 

@@ -422,6 +422,55 @@ def test_names_of_wrappers_keep_the_article(before, attributes, after):
     assert taught["word", "in article", True] == len(WHOLE.split())
 
 
+BOILERPLATE = (
+    "comment-list user-comments comments-section comment-body post-comments ad-container ad-slot share-buttons "
+    "related-posts cookie-notice site-footer page-footer"
+).split()
+LAYOUTS = "with-sidebar has-comments no-ads search-page menu-layout article-header post-body content-sidebar research".split()
+
+
+@pytest.mark.parametrize("name", BOILERPLATE)
+def test_boilerplate_by_name_is_left_out(name):
+    for attribute in ("class", "id"):
+        part = f'<div {attribute}="{name}"><p>Not of the text</p></div>'
+        inside = f"<article><h1>Head</h1><p>First words of the page</p>{part}<p>and the last</p></article>"
+        beside = f"<div><h1>Head</h1><p>First words of the page</p><p>and the last</p></div>{part}"
+        for page in (inside, beside, f"{part}{ARTICLE % ''}"):
+            assert " ".join(html_text.main_text(page, html_text.Weights())) == WHOLE
+        held = f'<div {attribute}="{name}">{ARTICLE % ""}</div>'
+        assert " ".join(html_text.main_text(held, html_text.Weights())) == WHOLE
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_names_of_layouts_drop_nothing(name):
+    for page in (ARTICLE % f' class="{name}"', f'<div class="{name}">{ARTICLE % ""}</div>', f'<div class="{name}"><p>{WHOLE}</p></div>'):
+        assert " ".join(html_text.main_text(page, html_text.Weights())) == WHOLE
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_scan_finds_the_best_region(seed, monkeypatch):
+    """Against all regions of pages with random scores; ties may choose another of equal score."""
+    rnd = random.Random(seed)
+    for _ in range(150):
+        n = rnd.randrange(1, 9)
+        words = [f"w{i}" for i in range(n)]
+        scores = {w: rnd.choice([-7.3, -2.9, -1.1, 1.3, 2.7, 6.1]) for w in words}
+        cost = rnd.choice([0.13, 0.77])
+        monkeypatch.setattr(html_text.Weights, "word", lambda _, block: scores[block.text()])
+        monkeypatch.setattr(html_text.Weights, "tag", lambda _, name: -cost)
+        page = "".join(f"<p>{w}</p>" for w in words)
+        line = html_text.tokens(page)
+        values = [scores[t.text()] if isinstance(t, html_text.Block) else -cost for t in line]
+        regions = [(i, j) for i in range(len(line)) for j in range(i, len(line) + 1)]
+        best = max(sum(values[i:j]) for i, j in regions)
+        got = html_text.main_text(page, html_text.Weights())
+        assert got in [
+            [t.text() for t, v in zip(line[i:j], values[i:j], strict=True) if isinstance(t, html_text.Block) and v > 0]
+            for i, j in regions
+            if sum(values[i:j]) == pytest.approx(best)
+        ]
+
+
 def test_articles_of_one_wrapper_stay_together():
     page = '<div class="sidebar"><article>one two three</article><article>four</article></div>'
     assert html_text.main_text(page, html_text.Weights()) == ["one two three", "four"]
