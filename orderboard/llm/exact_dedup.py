@@ -1,24 +1,27 @@
-"""Exact deduplication, and an extendible-hash index of the texts on shared files.
+"""Exact deduplication by an extendible-hash index of the texts on shared files.
 
 Texts are equal when identical after every run of ASCII white space became one
-space. The work is in three steps.
-
-1. *Records.* Documents are grouped by hash and normalised text, so texts are
-   compared byte by byte wherever hashes meet. Each task combines its copies
-   first: a group that holds a third of all rows is one row for each task. This
-   plain grouping finds keep_id, group_size and the row that stays;
-   ``drop_duplicates`` is this step alone and builds no index.
-2. *Directory.* Distinct hashes are counted by prefix. A bucket with more than
-   ``capacity`` of them is split by doubling the directory, as deep as it takes
-   for that bucket; the other buckets stay shallow. Its size is bounded by
-   ``2 ** max_depth`` entries.
-3. *Index.* Owner tasks take ranges of hashes, chain the texts that share one,
-   and write (bucket, hash, chain, digest, keep_id, group_size) to shared files,
-   one folder for each bucket.
-
-``memberships`` joins all documents with the whole index on hash and digest; it
-reads every bucket and does not use the directory. The index's tables are files
-in the shared folder, so losing an executor repeats a task, not the index.
+space. The index finds all groups, for both ways of use; the work is in three steps.
+
+1. *Directory.* Hashes are counted, and distinct ones counted by prefix. A bucket
+   with more than ``capacity`` of them is split by doubling the directory, as deep
+   as it takes for that bucket; the other buckets stay shallow. Its size is bounded
+   by ``2 ** max_depth`` entries.
+2. *Owners.* Each owner task takes a range of hashes with the texts themselves. It
+   compares texts of one hash byte by byte, finds for each the document that stays
+   and the size of its group, and chains the texts that share the hash. It writes
+   (bucket, hash, chain, digest, keep_id, group_size) to shared files, one folder for
+   each bucket.
+3. *Probes.* ``memberships`` takes each document's bucket from the directory and meets
+   the bucket's entries; ``drop_duplicates`` reads the rows that stay from the buckets.
+
+A text moves once. Only hashes of more than one row in ``HOT_SHARE`` of all rows (and
+more than ``HOT_ROWS``), of which there are at most ``HOT_SHARE``, have their copies
+combined within map tasks before owners get them, as a range would put a third of all
+rows into one task. That changes the way of those rows, not the groups.
+
+The index's tables are files in the shared folder, so losing an executor repeats a
+task, not the index.
 
 Defined cases: NULL text counts as empty, and empty texts are one group. A NULL
 doc_id comes after all others when the row that stays is chosen. Rows with equal
@@ -28,6 +31,7 @@ doc_id and text are one text; of them one stays. Extra columns are kept.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +43,8 @@ Hash = Callable[[Column], Column]
 
 CAPACITY = 100_000
 MAX_DEPTH = 16
+HOT_SHARE = 10_000
+HOT_ROWS = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -50,22 +56,20 @@ def _ordered(doc_id: Column) -> Column:
     return F.struct(doc_id.isNull().alias("missing"), doc_id.alias("doc_id"))
 
 
-def records(docs: DataFrame, hash_of: Hash = F.xxhash64, with_rows: bool = True) -> DataFrame:
-    """One stored row for each distinct text: hash, digest, keep_id, group_size and,
-    if asked for, ``row``: the document that stays."""
-    text = F.col("text")
-    keyed = docs.select(
-        normalised(text).alias("norm"),
-        F.col("doc_id").alias("doc_id"),
-        _ordered(F.col("doc_id")).alias("place"),
-        F.struct(_ordered(F.col("doc_id")).alias("place"), text.alias("text")).alias("rank"),
-        whole_row(docs).alias("row"),
-    ).withColumn("hash", hash_of(F.col("norm")))
-    kept = [F.min_by("row", "rank").alias("row")] if with_rows else []
-    groups = keyed.groupBy("hash", "norm").agg(
-        F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), *kept
-    )
-    return stored(groups.withColumn("text_sha256", F.sha2("norm", 256)).drop("norm"), "dedup-records")
+class Index(NamedTuple):
+    entries: DataFrame  # hash, text_sha256, keep_id, group_size, chain, bucket and, if asked for, row
+    lookup: DataFrame  # slot, bucket, depth
+
+
+def hash_counts(hashes: DataFrame) -> DataFrame:
+    """(hash, rows), stored."""
+    return stored(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")), "dedup-hashes")
+
+
+def frequent(counts: DataFrame, share: int = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame:
+    """The hashes, at most ``share``, of more than one row in ``share``."""
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    return counts.filter(F.col("rows") > max(least, total // share)).select("hash")
 
 
 def directory(hashes: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -74,8 +78,7 @@ def directory(hashes: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     A slot's bucket is its shortest prefix that at most ``capacity`` distinct
     hashes share; that is the state in which doubling the directory ends.
     """
-    slot = F.shiftrightunsigned(F.col("hash"), 64 - max_depth)
-    counted = hashes.select("hash").distinct().groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    counted = hashes.select("hash").distinct().groupBy(_slot(max_depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     levels = counted.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
     prefix = F.expr(f"shiftrightunsigned(slot, {max_depth} - depth)")
     full = (
@@ -90,26 +93,78 @@ def directory(hashes: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     )
 
 
+def _slot(max_depth: int) -> Column:
+    return F.shiftrightunsigned(F.col("hash"), 64 - max_depth)
+
+
 def build_index(
-    entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH
-) -> DataFrame:
-    """The index over ``records``, written by bucket and read back."""
-    spark = entries.sparkSession
-    lookup = directory(entries, capacity, max_depth)
-    slot = F.shiftrightunsigned(F.col("hash"), 64 - max_depth)
+    docs: DataFrame,
+    counts: DataFrame,
+    hash_of: Hash = F.xxhash64,
+    capacity: int = CAPACITY,
+    max_depth: int = MAX_DEPTH,
+    with_rows: bool = False,
+    hot: DataFrame | None = None,
+) -> Index:
+    """The index of ``docs``, written by bucket and read back.
+
+    ``counts`` are the ``hash_counts`` of the documents' normalised texts, ``hot`` the
+    hashes whose copies are combined first (``frequent(counts)``). ``with_rows`` adds
+    ``row``, the document that stays.
+    """
+    spark = docs.sparkSession
+    lookup = stored(directory(counts, capacity, max_depth), "dedup-directory")
+    hot = F.broadcast(frequent(counts) if hot is None else hot)  # at most HOT_SHARE rows
+    norm = normalised(F.col("row.text"))
+    rank = F.struct(_ordered(F.col("row.doc_id")), F.col("row.text"))
+    first = F.min_by("row", rank) if with_rows else F.struct(F.min("row.doc_id").alias("doc_id"), F.col("norm").alias("text"))
+
+    rows = docs.select((whole_row(docs) if with_rows else F.struct("doc_id", "text")).alias("row"))
+    keyed = rows.withColumn("hash", hash_of(norm))
+    combined = keyed.join(hot, "hash", "left_semi").groupBy("hash", norm.alias("norm")).agg(
+        first.alias("row"), F.count(F.lit(1)).alias("copies")
+    )
+    single = keyed.join(hot, "hash", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    columns = ["hash", "row", "copies"]
+    owned = single.select(columns).union(combined.select(columns)).repartitionByRange("hash")
+
+    kept = [F.min_by("row", rank).alias("row")] if with_rows else []
+    texts = owned.groupBy("hash", norm.alias("norm")).agg(
+        F.min("row.doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), *kept
+    )
     chain = Window.partitionBy("hash").orderBy("text_sha256", F.col("keep_id").asc_nulls_last())
-    narrow = entries.select("hash", "text_sha256", "keep_id", "group_size")
-    owned = (
-        narrow.repartitionByRange("hash")
-        .withColumn("chain", F.row_number().over(chain))
-        .withColumn("slot", slot)
-        .join(F.broadcast(lookup), "slot")  # at most 2 ** max_depth rows
-        .drop("slot", "depth")
+    chained = texts.withColumn("text_sha256", F.sha2("norm", 256)).drop("norm").withColumn(
+        "chain", F.row_number().over(chain)
     )
+    entries = chained.withColumn("slot", _slot(max_depth)).join(
+        F.broadcast(lookup), "slot"  # at most 2 ** max_depth rows
+    ).drop("slot", "depth")
     path = shared_folder(spark, "dedup-index")
-    owned.write.partitionBy("bucket").parquet(path)
-    fields = "hash long, text_sha256 string, keep_id long, group_size long, chain int, bucket string"
-    return spark.read.schema(fields).parquet(path)
+    entries.write.partitionBy("bucket").parquet(path)
+    return Index(spark.read.schema(entries.schema).parquet(path), lookup)
+
+
+def probe(probes: DataFrame, index: Index, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Each of ``probes`` (doc_id, hash, text_sha256) with its entry, from the bucket
+    that the directory names."""
+    addressed = probes.withColumn("slot", _slot(max_depth)).join(F.broadcast(index.lookup), "slot")
+    return addressed.join(index.entries, ["bucket", "hash", "text_sha256"]).select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        "text_sha256",
+        "chain",
+    )
+
+
+def probes_of(docs: DataFrame, hash_of: Hash = F.xxhash64) -> DataFrame:
+    """(doc_id, hash, text_sha256) of each document, stored."""
+    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    return stored(
+        norm.select("doc_id", hash_of(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256")),
+        "dedup-probes",
+    )
 
 
 def memberships(
@@ -124,22 +179,18 @@ def memberships(
     repeats with the same text, all its rows are marked and ``drop_duplicates``
     is what leaves one.
     """
-    index = build_index(records(docs, hash_of, with_rows=False), capacity, max_depth)
-    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    probes = stored(
-        norm.select("doc_id", hash_of(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256")),
-        "dedup-probes",
-    )
-    return probes.join(index, ["hash", "text_sha256"]).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
-        "chain",
-    )
+    probes = probes_of(docs, hash_of)
+    index = build_index(docs, hash_counts(probes), hash_of, capacity, max_depth)
+    return probe(probes, index, max_depth)
 
 
-def drop_duplicates(docs: DataFrame, hash_of: Hash = F.xxhash64) -> DataFrame:
+def drop_duplicates(
+    docs: DataFrame,
+    hash_of: Hash = F.xxhash64,
+    capacity: int = CAPACITY,
+    max_depth: int = MAX_DEPTH,
+) -> DataFrame:
     """The documents that stay: of equal texts the row with the smallest doc_id."""
-    return records(docs, hash_of).select("row.*")
+    counts = hash_counts(docs.select(hash_of(normalised(F.col("text"))).alias("hash")))
+    index = build_index(docs, counts, hash_of, capacity, max_depth, with_rows=True)
+    return index.entries.select("row.*")
