@@ -12,7 +12,8 @@ Only texts are shuffled. Groups are sized by documents and by bytes, so a group
 fits in a worker however long the documents are; one document is the least.
 
 Defined cases: NULL text is empty and an empty document is its end id alone.
-Rows that repeat are packed as often as they occur. Any doc_id, NULL too, is
+Rows that repeat are packed as often as they occur; more equal rows than a group
+has documents are spread over all groups. Any doc_id, NULL too, is
 carried as it is. Columns other than doc_id and text are not read.
 """
 
@@ -22,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderboard.llm.tables import stored
 from orderboard.llm.tokens import ID_TYPE, default_vocabulary, encoder
 
 LENGTH = 2048
@@ -33,6 +35,7 @@ MIN_CUT = 16
 DOCS_PER_GROUP = 2048
 BYTES_PER_GROUP = 16 << 20
 SEED = 20240607
+COPIES = 4096
 
 Piece = tuple[int, int, int]  # document, first id, number of ids
 SCHEMA = (
@@ -114,8 +117,30 @@ def _groups(docs: DataFrame, docs_per_group: int, bytes_per_group: int) -> int:
     return max(1, -(-size["docs"] // docs_per_group), -(-(size["bytes"] or 0) // bytes_per_group))
 
 
-def _group_of(groups: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(groups))
+def _dealt(docs: DataFrame, groups: int, docs_per_group: int, seed: int) -> DataFrame:
+    """(doc_id, text, pack_group) by a seeded hash of both; rows that equal more than
+    ``docs_per_group`` others are dealt in turn to all groups, beginning at their hash.
+
+    Equal rows are interchangeable, so a rerun deals alike whichever copy comes first.
+    """
+    mark = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    keyed = docs.select("doc_id", "text", mark.alias("mark"))
+    often = keyed.groupBy("mark").count().filter(F.col("count") > docs_per_group).select("mark")
+    group = F.pmod(F.col("mark"), F.lit(groups)).alias("pack_group")
+    often = stored(often, "packing-repeated")
+    if often.isEmpty():
+        return keyed.select("doc_id", "text", group)
+    equal = keyed.join(often, "mark", "left_semi").groupBy("mark", "doc_id", "text").count()
+    # Two steps and an exchange between them, so that no task makes more than COPIES rows
+    # of one text in a row and no array is longer.
+    begun = equal.withColumn("begin", F.explode(F.expr(f"sequence(0L, count - 1, {COPIES}L)")))
+    spread = begun.repartition(groups, "mark", "begin").withColumn(
+        "nth", F.explode(F.expr(f"sequence(begin, least(begin + {COPIES - 1}, count - 1))"))
+    )
+    turn = F.pmod(F.pmod(F.col("mark"), F.lit(groups)) + F.col("nth"), F.lit(groups)).alias("pack_group")
+    return keyed.join(often, "mark", "left_anti").select("doc_id", "text", group).union(
+        spread.select("doc_id", "text", turn)
+    )
 
 
 def pack(
@@ -155,8 +180,7 @@ def pack(
                 offset += size
         return pa.table(out, ARROW_SCHEMA)
 
-    dealt = docs.select("doc_id", "text", _group_of(groups, seed).alias("pack_group"))
-    return dealt.groupBy("pack_group").applyInArrow(pack_group, SCHEMA)
+    return _dealt(docs, groups, docs_per_group, seed).groupBy("pack_group").applyInArrow(pack_group, SCHEMA)
 
 
 ARROW_SCHEMA = pa.schema(
