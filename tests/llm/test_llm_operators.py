@@ -107,6 +107,38 @@ def test_exact_dedup(spark, docs, none):
     assert exact_dedup.memberships(none).count() == 0
 
 
+def test_exact_dedup_goes_through_its_buckets(docs):
+    """What an emptied bucket held is neither a member of a group nor kept."""
+    norm = exact_dedup.normalised(exact_dedup.F.col("text"))
+    probes = exact_dedup.probes_of(docs)
+    counts = exact_dedup.hash_counts(docs.select(exact_dedup.F.xxhash64(norm).alias("hash")))
+    index = exact_dedup.build_index(docs, counts, capacity=4, max_depth=12, with_rows=True)
+    by_bucket = Counter(r["bucket"] for r in index.entries.collect())
+    assert len(by_bucket) > 4 and max(by_bucket.values()) <= 4
+    whole = exact_dedup.probe(probes, index, 12).collect()
+    emptied = sorted(by_bucket)[0]
+    lost = {r["text_sha256"] for r in index.entries.filter(index.entries.bucket == emptied).collect()}
+    left = index._replace(entries=index.entries.filter(index.entries.bucket != emptied))
+    found = exact_dedup.probe(probes, left, 12).collect()
+    assert lost and Counter(map(str, found)) == Counter(str(r) for r in whole if r["text_sha256"] not in lost)
+    moved = index._replace(lookup=index.lookup.withColumn("bucket", exact_dedup.F.lit(emptied)))
+    assert {r["text_sha256"] for r in exact_dedup.probe(probes, moved, 12).collect()} == lost
+
+
+def test_exact_dedup_combines_frequent_copies_alike(docs):
+    norm = exact_dedup.normalised(exact_dedup.F.col("text"))
+    counts = exact_dedup.hash_counts(docs.select(exact_dedup.F.xxhash64(norm).alias("hash")))
+    hot = exact_dedup.frequent(counts, share=1000, least=1)
+    sizes = Counter(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in docs.collect())
+    assert hot.count() == sum(n > 1 for n in sizes.values()) > 0
+    for with_rows in (False, True):
+        ways = [
+            exact_dedup.build_index(docs, counts, with_rows=with_rows, hot=h).entries for h in (hot, hot.limit(0))
+        ]
+        rows = [Counter(map(str, w.collect())) for w in ways]
+        assert rows[0] == rows[1] and len(rows[0]) == len(sizes)
+
+
 def test_directory_splits_only_full_buckets(spark):
     hashes = spark.range(64).selectExpr("shiftleft(id % 8, 61) + id AS hash").unionByName(
         spark.range(200).selectExpr("id AS hash")
@@ -287,6 +319,26 @@ def test_packing(docs, none):
         assert at <= 256
 
 
+def test_packing_spreads_repeated_rows(spark):
+    """5000 equal rows and some others: every group gets its part, and reruns agree."""
+    equal = spark.range(5000).selectExpr("7L AS doc_id", "'the same few words' AS text")
+    others = spark.range(300).selectExpr("id + 100 AS doc_id", "concat('text ', id) AS text")
+    runs = []
+    for parts in (2, 5):
+        docs = equal.union(others).repartition(parts)
+        rows = packing.pack(docs, length=256, docs_per_group=1000).drop("ids").collect()
+        copies = Counter(r["sequence_id"] >> 32 for r in rows if r["doc_id"] == 7 and r["start"] == 0)
+        assert sorted(copies) == list(range(6)) and sum(copies.values()) == 5000
+        assert max(copies.values()) - min(copies.values()) <= 1
+        ids = Counter()
+        for r in rows:
+            ids[r["doc_id"]] += r["length"]
+        size = next(r["doc_tokens"] for r in rows if r["doc_id"] == 7)
+        assert ids.pop(7) == 5000 * size and len(ids) == 300
+        runs.append(Counter((r["doc_id"], r["sequence_id"] >> 32) for r in rows if r["start"] == 0))
+    assert runs[0] == runs[1]
+
+
 def test_pack_lengths_is_first_fit_decreasing_and_tight():
     rnd = random.Random(3)
     lengths = [rnd.randrange(0, 5000) for _ in range(700)]
