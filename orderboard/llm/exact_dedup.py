@@ -36,7 +36,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderboard.llm.tables import SPACE, stored, whole_row
+from orderboard.llm.tables import SPACE, shuffles_removed, stored, whole_row
 from orderboard.scratch import shared_folder
 
 Hash = Callable[[Column], Column]
@@ -140,7 +140,8 @@ def build_index(
         F.broadcast(lookup), "slot"  # at most 2 ** max_depth rows
     ).drop("slot", "depth")
     path = shared_folder(spark, "dedup-index")
-    entries.write.partitionBy("bucket").parquet(path)
+    with shuffles_removed(spark):
+        entries.write.partitionBy("bucket").parquet(path)
     return Index(spark.read.schema(entries.schema).parquet(path), lookup)
 
 
