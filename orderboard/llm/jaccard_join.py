@@ -17,14 +17,18 @@ then differ in at most ``(a + b) (100 - percent) / (100 + percent)``.
    differ, which linked sets share as well.
 3. *Pivots.* Regions of one node vanish: names of regions and nodes, 16 bytes a
    pair, are shuffled once, packed by segment, and only pairs of shared regions
-   come back. In every other region the smallest node is the pivot, and all its nodes are compared with it, exactly. Nodes that
-   link are one component, which settles a large group of near copies without
-   pairs among them.
+   come back. In every other region the smallest node is the pivot, and all its
+   nodes are compared with it: those that sizes and sketches allow to link, exactly.
+   Nodes that link are one component, which settles a large group of near copies
+   without pairs among them.
 4. *Windows.* Regions that still hold several components are joined within:
    nodes go to their nearest pivot's cell, and to each cell that the triangle
    inequality cannot rule out; cells are joined recursively, the small ones pair
-   by pair. Distances here are of 1024-bit parity sketches, which never exceed
-   the sets' own, so nothing that links is lost. What is left is compared exactly.
+   by pair. What is left is compared exactly.
+
+Distances of 1024-bit parity sketches never exceed the sets' own, so nothing that
+links is lost by them. Sketches, 128 bytes a node, are made with the regions; the
+sets themselves, 8 bytes a shingle, only of nodes in pairs that sketches allow.
 
 ``memberships`` and ``keep_one_each`` need components only and skip pairs that
 are known to be of one. ``links`` and ``link_counts`` skip none: pivots give way
@@ -60,9 +64,13 @@ MIN_SEGMENTS = 64
 SKETCH_BITS = 1024
 BLOCK = 2000
 LEAF = 256
+# Pairs of sketches that are held at once.
+COMPARED = 1 << 15
 SMALL = 40
 CLASS_WIDTH = 1.25
-MAX_REMEMBERED = 500_000
+MAX_REMEMBERED = 50_000
+# Texts whose sets a task holds at once.
+TEXTS = 1000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,11 +181,17 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def documents_with_keys(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, digest, n, node, mark, keys) of each document; ``mark`` shortens ``node``."""
+    """(doc_id, digest, n, node, mark, sketch, keys) of each document; ``mark`` shortens ``node``."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t, rule.size) for t in batch.column("text").to_pylist()]
             nodes = [node_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -187,14 +201,15 @@ def documents_with_keys(docs: DataFrame, rule: Rule) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes, pa.binary()),
                     pa.array(np.frombuffer(b"".join(n[:8] for n in nodes), np.int64)),
+                    pa.array([sketch_of(s) for s in sets], pa.binary()),
                     _lists([rule.keys(s).view(np.int64) for s in sets], pa.int64()),
                 ],
-                names=["doc_id", "digest", "n", "node", "mark", "keys"],
+                names=["doc_id", "digest", "n", "node", "mark", "sketch", "keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    schema = f"doc_id {kind}, digest long, n long, node binary, mark long, keys array<long>"
+    schema = f"doc_id {kind}, digest long, n long, node binary, mark long, sketch binary, keys array<long>"
     return stored(read.mapInArrow(describe, schema), "jaccard-documents")
 
 
@@ -282,17 +297,49 @@ def shared_pairs(described: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Da
     return stored(met.mapInArrow(settle, "key long, mark long"), "jaccard-shared")
 
 
-def regions(described: DataFrame) -> DataFrame:
+def distinct_nodes(described: DataFrame) -> DataFrame:
+    """(mark, node, n, sketch) of each node, once."""
+    return stored(described.select("mark", "node", "n", "sketch").distinct(), "jaccard-nodes")
+
+
+def regions(described: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, node, n) of every region that holds two nodes or more."""
-    nodes = stored(
-        described.select("mark", "node", "n").distinct().withColumnRenamed("mark", "of"), "jaccard-nodes"
-    )
-    members = shared_pairs(described).join(nodes, F.col("mark") == F.col("of"))
+    named = nodes.select(F.col("mark").alias("of"), "node", "n")
+    members = shared_pairs(described).join(named, F.col("mark") == F.col("of"))
     return stored(members.select("key", "node", "n").distinct(), "jaccard-members")
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (u, v) of nodes that sizes and sketches allow to link."""
+    u, v = (
+        nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        for c in "uv"
+    )
+    both = pairs.select("u", "v").join(u, "u").join(v, "v")
+
+    def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+                for c in ("sketch_u", "sketch_v")
+            )
+            a, b = batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy()
+            differ = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+            near = (differ <= rule.differ(a, b)) & (100 * np.minimum(a, b) >= rule.percent * np.maximum(a, b))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("u"), batch.column("v")], names=["u", "v"]
+            ).filter(pa.array(near, pa.bool_()))
+
+    return both.mapInArrow(allow, "u binary, v binary")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(node) of every node that a pair names, once."""
+    return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+
+
 def node_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, n, found, sketch) of the given nodes, from one document of each."""
+    """(node, n, found) of the given nodes, from one document of each."""
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")).alias("one")
     wanted = stored(
         described.join(nodes, "node", "left_semi").groupBy("node").agg(chosen)
@@ -300,25 +347,24 @@ def node_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, rule: Rul
         "jaccard-wanted",
     )
     texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    # Most texts share no region; they stay out of the exchange.
+    # Most texts are in no pair; they stay out of the exchange.
     texts = may_match(texts, wanted.select(F.col("of").alias("digest")), "digest").join(
         wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left_semi"
     )
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t, rule.size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([node_of(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
-                    pa.array([sketch_of(s) for s in sets], pa.binary()),
                 ],
-                names=["node", "n", "found", "sketch"],
+                names=["node", "n", "found"],
             )
 
-    found = texts.select("text").mapInArrow(describe, "node binary, n long, found binary, sketch binary")
+    found = texts.select("text").mapInArrow(describe, "node binary, n long, found binary")
     return stored(found.dropDuplicates(["node"]), "jaccard-sets")
 
 
@@ -378,9 +424,10 @@ def window_join(
         i, j = np.nonzero(fits)
         if len(i):
             x, y = part[i], rest[j]
-            differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1)
-            near = differ <= rule.differ(n[x], n[y])
-            yield x[near], y[near]
+            for k in range(0, len(x), COMPARED):
+                u, v = x[k : k + COMPARED], y[k : k + COMPARED]
+                near = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1) <= rule.differ(n[u], n[v])
+                yield u[near], v[near]
 
 
 def pairs_within(members: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
@@ -427,12 +474,13 @@ def memberships(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """
     rule = rule or Rule()
     described = documents_with_keys(docs, rule)
-    members = regions(described)
+    nodes = distinct_nodes(described)
+    members = regions(described, nodes)
     pivots = stored(members.groupBy("key").agg(F.min("node").alias("pivot")), "jaccard-pivots")
     starred = stored(members.join(pivots, "key").filter(F.col("node") != F.col("pivot")), "jaccard-starred")
-    sets = node_sets(docs, described, members.select("node").distinct(), rule)
     stars = starred.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    near = stored(linked(stars, sets, rule), "jaccard-links")
+    maybe = stored(possible(stars, nodes, rule), "jaccard-possible")
+    near = stored(linked(maybe, node_sets(docs, described, ends(maybe), rule), rule), "jaccard-links")
     roots = stored(components(near), "jaccard-roots")
 
     rooted = stored(
@@ -447,9 +495,10 @@ def memberships(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
         "jaccard-open",
     )
     left = rooted.join(open_, F.col("key") == F.col("region"), "left_semi")
-    sketches = sets.select("node", "sketch")
-    maybe = pairs_within(stored(left.join(sketches, "node"), "jaccard-windows"), rule)
-    more = stored(linked(maybe, sets, rule), "jaccard-links")
+    sketches = nodes.select("node", "sketch")
+    windows = stored(left.join(sketches, "node"), "jaccard-windows")
+    maybe = stored(pairs_within(windows, rule), "jaccard-possible")
+    more = stored(linked(maybe, node_sets(docs, described, ends(maybe), rule), rule), "jaccard-links")
     roots = stored(components(near.unionByName(more)), "jaccard-roots")
 
     grouped = stored(
@@ -484,12 +533,12 @@ def links(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
 
 def _links(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
-    members = regions(described)
-    sets = node_sets(docs, described, members.select("node").distinct(), rule)
+    nodes = distinct_nodes(described)
+    members = regions(described, nodes)
     # Each node its own root: none of its pairs are settled.
-    rooted = members.join(sets.select("node", "sketch"), "node").withColumn("root", F.col("node"))
-    maybe = pairs_within(stored(rooted, "jaccard-windows"), rule)
-    near = stored(linked(maybe, sets, rule), "jaccard-links")
+    rooted = members.join(nodes.select("node", "sketch"), "node").withColumn("root", F.col("node"))
+    maybe = stored(pairs_within(stored(rooted, "jaccard-windows"), rule), "jaccard-possible")
+    near = stored(linked(maybe, node_sets(docs, described, ends(maybe), rule), rule), "jaccard-links")
     held = stored(described.groupBy("node").agg(F.count(F.lit(1)).alias("docs")), "jaccard-held")
     u, v = (held.select(F.col("node").alias(c), F.col("docs").alias(f"docs_{c}")) for c in "uv")
     return near.join(u, "u").join(v, "v").select("u", "v", "docs_u", "docs_v")

@@ -254,6 +254,50 @@ def test_window_join_loses_nothing():
     assert want and want <= found
 
 
+def near_texts():
+    """60 texts that share parts of other texts, of which three pairs are near copies."""
+    rnd = random.Random(11)
+    shared = [[f"s{rnd.randrange(10**6)}" for _ in range(40)] for _ in range(4)]
+    texts = [" ".join(shared[i % 4] + [f"w{rnd.randrange(10**6)}" for _ in range(40)]) for i in range(60)]
+    for i in range(3):
+        texts[50 + i] = texts[i] + " tail"
+    return texts
+
+
+def test_sketches_allow_all_that_links_and_little_else(spark):
+    rule = jaccard_join.Rule(3, 80)
+    sets = [jaccard_join.shingles(t, rule.size) for t in near_texts()]
+    names = [jaccard_join.node_of(s) for s in sets]
+    nodes = spark.createDataFrame(
+        [(m, len(s), jaccard_join.sketch_of(s)) for m, s in zip(names, sets, strict=True)], "node binary, n long, sketch binary"
+    )
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
+    frame = spark.createDataFrame([(names[i], names[j]) for i, j in pairs], "u binary, v binary")
+    got = {(names.index(bytes(r["u"])), names.index(bytes(r["v"]))) for r in jaccard_join.possible(frame, nodes, rule).collect()}
+    assert got >= {(i, j) for i, j in pairs if rule.link(sets[i], sets[j])} == {(0, 50), (1, 51), (2, 52)}
+    assert len(got) < 10
+
+
+@pytest.mark.parametrize("way", [jaccard_join.memberships, jaccard_join.link_counts])
+def test_sets_are_made_only_of_nodes_that_sketches_allow(spark, monkeypatch, way):
+    tables = defaultdict(int)
+
+    def counted(df, purpose, inner=jaccard_join.stored):
+        table = inner(df, purpose)
+        tables[purpose] += table.count()
+        return table
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    docs = spark.createDataFrame(list(enumerate(near_texts())), "doc_id long, text string")
+    got = {r["doc_id"]: r[-1] for r in way(docs, jaccard_join.Rule(3, 80)).collect()}
+    alone = 0 if way is jaccard_join.link_counts else None
+    for i in range(60):
+        near = i if i in (0, 1, 2) else i - 50 if i in (50, 51, 52) else None
+        assert got[i] == ((i if near is None else near) if alone is None else int(near is not None))
+    # Nearly all texts share a region with one they do not link with.
+    assert tables["jaccard-members"] > 60 and 6 <= tables["jaccard-sets"] < 20
+
+
 def test_components(spark):
     edges = [(b"%03d" % i, b"%03d" % (i + 1)) for i in range(0, 40) if i % 10 != 9] + [(b"500", b"500")]
     got = components.components(spark.createDataFrame(edges, "u binary, v binary")).collect()
