@@ -45,7 +45,7 @@ documents without any doc_id is NULL. Rows that repeat are members like others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil, exp, sqrt
 
@@ -59,8 +59,10 @@ from orderboard.llm.components import components
 from orderboard.llm.tables import WORD, stored
 from orderboard.operators.key_filter import marked, may_match
 
-SEGMENT_BYTES = 32 << 20
-MIN_SEGMENTS = 64
+SEGMENT_BYTES = 16 << 20
+MIN_SEGMENTS = 256
+# Pairs of keys and marks that are sorted at once before they are sent.
+SENT_PAIRS = 1 << 18
 SKETCH_BITS = 1024
 BLOCK = 2000
 LEAF = 256
@@ -187,6 +189,29 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = TEXTS) -> Iterator[pa
             yield batch.slice(begin, rows)
 
 
+def _released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work``, after which a worker gives back what Arrow keeps for later batches.
+
+    Workers outlive their tasks, so what they keep adds to that of the next stages.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _portions(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lengths add up to ``most`` at most, or of one longer row."""
+    ends, begin = np.cumsum(lengths, dtype=np.int64), 0
+    while begin < len(ends):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield begin, end
+        begin = end
+
+
 def documents_with_keys(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, digest, n, node, mark, sketch, keys) of each document; ``mark`` shortens ``node``."""
 
@@ -210,7 +235,7 @@ def documents_with_keys(docs: DataFrame, rule: Rule) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
     schema = f"doc_id {kind}, digest long, n long, node binary, mark long, sketch binary, keys array<long>"
-    return stored(read.mapInArrow(describe, schema), "jaccard-documents")
+    return stored(read.mapInArrow(_released(describe), schema), "jaccard-documents")
 
 
 def _packed(segment: np.ndarray, keys: np.ndarray, marks: np.ndarray, sure: bool) -> pa.RecordBatch:
@@ -241,28 +266,38 @@ def _sorted_pairs(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]
     return keys, marks, np.r_[True, change][: len(keys)], np.r_[change, True][: len(keys)]
 
 
+def sent_pairs(
+    batches: Iterator[pa.RecordBatch], segments: int, most: int = SENT_PAIRS
+) -> Iterator[pa.RecordBatch]:
+    """The packed pairs of (mark, keys) rows, sorted ``most`` at a time."""
+    for batch in batches:
+        lengths = np.diff(batch.column("keys").offsets.to_numpy())
+        for begin, end in _portions(lengths, most):
+            part = batch.slice(begin, end - begin)
+            keys, marks, first, last = _sorted_pairs(
+                part.column("keys").flatten().to_numpy(),
+                np.repeat(part.column("mark").to_numpy(), lengths[begin:end]),
+            )
+            for chosen, by, sure in ((first | last, keys, False), (~(first | last), marks, True)):
+                at = (mixed(by[chosen].view(np.uint64)) % np.uint64(segments)).astype(np.int64)
+                yield _packed(at, keys[chosen], marks[chosen], sure)
+
+
 def shared_pairs(described: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """(key, mark) of the nodes of every region that holds two nodes or more.
 
-    Each batch of documents sends 16 bytes for a pair, in one row for each segment
-    of the keys. Of a key that several nodes of a batch have, only the first and
-    last mark meet those of other batches: two marks already make it shared, so
-    the others are sure, and travel in segments of their own marks. A region of
-    any size so brings at most two marks of each batch to its segment.
+    Each portion of documents, ``SENT_PAIRS`` pairs or one document, sends 16 bytes
+    for a pair, in one row for each segment of the keys. Of a key that several nodes
+    of a portion have, only the first and last mark meet those of other portions: two
+    marks already make it shared, so the others are sure, and travel in segments of
+    their own marks. A region of any size so brings at most two marks of each portion
+    to its segment.
     """
     pairs = described.select(F.sum(F.size("keys").cast("long"))).first()[0] or 0
     segments = max(MIN_SEGMENTS, -(-16 * pairs // segment_bytes))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("keys")
-            lengths = np.diff(lists.offsets.to_numpy())
-            keys, marks, first, last = _sorted_pairs(
-                lists.flatten().to_numpy(), np.repeat(batch.column("mark").to_numpy(), lengths)
-            )
-            for chosen, by, sure in ((first | last, keys, False), (~(first | last), marks, True)):
-                at = (mixed(by[chosen].view(np.uint64)) % np.uint64(segments)).astype(np.int64)
-                yield _packed(at, keys[chosen], marks[chosen], sure)
+        return sent_pairs(batches, segments)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])
@@ -291,10 +326,10 @@ def shared_pairs(described: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Da
             yield found(*held)
 
     sent = described.select("mark", "keys").mapInArrow(
-        send, "segment long, sure boolean, keys binary, marks binary"
+        _released(send), "segment long, sure boolean, keys binary, marks binary"
     )
     met = sent.repartition("segment").sortWithinPartitions("segment")
-    return stored(met.mapInArrow(settle, "key long, mark long"), "jaccard-shared")
+    return stored(met.mapInArrow(_released(settle), "key long, mark long"), "jaccard-shared")
 
 
 def distinct_nodes(described: DataFrame) -> DataFrame:
@@ -330,7 +365,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
                 [batch.column("u"), batch.column("v")], names=["u", "v"]
             ).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(allow, "u binary, v binary")
+    return both.mapInArrow(_released(allow), "u binary, v binary")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -364,7 +399,7 @@ def node_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, rule: Rul
                 names=["node", "n", "found"],
             )
 
-    found = texts.select("text").mapInArrow(describe, "node binary, n long, found binary")
+    found = texts.select("text").mapInArrow(_released(describe), "node binary, n long, found binary")
     return stored(found.dropDuplicates(["node"]), "jaccard-sets")
 
 
@@ -386,7 +421,7 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 [batch.column("u"), batch.column("v")], names=["u", "v"]
             ).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "uf", "vf").mapInArrow(compare, "u binary, v binary")
+    return both.select("u", "v", "uf", "vf").mapInArrow(_released(compare), "u binary, v binary")
 
 
 def _distances(one: np.ndarray, other: np.ndarray) -> np.ndarray:

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orderboard.llm import (
@@ -189,6 +192,30 @@ def test_shared_pairs_are_those_of_keys_with_two_nodes(spark, segment_bytes):
     assert {tuple(r) for r in got} == {(k, m) for k, ms in of.items() if len(ms) > 1 for m in ms}
 
 
+def test_pairs_are_sent_in_portions():
+    """What a batch of many keys takes is bounded, whatever the rows of the batch; no pair is lost."""
+    assert list(jaccard_join._portions(np.array([3, 0, 4, 9, 1, 1]), 7)) == [(0, 3), (3, 4), (4, 6)]
+    rnd = np.random.default_rng(5)
+    marks, each = np.arange(5000), 400
+    keys = rnd.integers(1 << 40, size=len(marks) * each)
+    keys[::each] = 7  # one region of all
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, each, dtype=np.int32)), pa.array(keys))
+    batch = pa.RecordBatch.from_arrays([pa.array(marks), lists], names=["mark", "keys"])
+    got, sevens, rows = 0, set(), 0
+    tracemalloc.start()
+    for sent in jaccard_join.sent_pairs(iter([batch]), 64):
+        assert not sent.num_rows or sum(map(len, sent.column("keys").to_pylist())) <= 8 * jaccard_join.SENT_PAIRS
+        for packed, of in zip(sent.column("keys"), sent.column("marks"), strict=True):
+            key, mark = (np.frombuffer(x.as_py(), np.int64) for x in (packed, of))
+            got += len(key)
+            sevens |= set(mark[key == 7].tolist())
+        rows += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(keys) and sevens == set(marks.tolist()) and rows > 2
+    assert peak < 60e6
+
+
 @pytest.mark.parametrize("rule", [jaccard_join.Rule(3, 90), jaccard_join.Rule(5, 80), jaccard_join.Rule(1, 60)])
 def test_jaccard_join(docs, none, rule):
     rows = docs.collect()
@@ -644,6 +671,17 @@ def test_collision_rate_is_the_generalised_jaccard(spark):
     assert abs(rate - true) < 0.15
 
 
+def test_draws_never_divide(spark):
+    """A quotient checks its divisor for each word and sample; the factor is exact."""
+    for column in (*sampling_fingerprint.sample_draws(F.col("word"), 3), sampling_fingerprint._uniform(F.col("word"), 21)):
+        assert " / " not in str(column)
+    for width in (21, 22, 32):
+        bits = [0, 1, 5, (1 << width) // 3, (1 << width) - 1]
+        df = spark.createDataFrame([(b,) for b in bits], "bits long")
+        got = [r[0] for r in df.select(sampling_fingerprint._uniform(F.col("bits"), width)).collect()]
+        assert got == [(b + 0.5) / (1 << width) for b in bits]
+
+
 def test_estimates_at_the_production_setting(spark):
     """Over many pairs: no bias, and the spread of a binomial of SAMPLES draws."""
     rnd, n = random.Random(11), 400
