@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderboard.llm.tables import stored
+from orderboard.llm.tables import removed, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,13 +33,17 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that an edge (u, v) names; the root is the smallest."""
+    """(node, root) of every node that an edge (u, v) names, stored; the root is the smallest."""
     now = stored(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "components")
     state = _state(now)
     while state[0]:
-        now = stored(_small_star(_large_star(now).distinct()).distinct(), "components")
+        last, now = now, stored(_small_star(_large_star(now).distinct()).distinct(), "components")
+        removed(last)
         before, state = state, _state(now)
         if state == before:
             break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    own = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    found = stored(roots.unionByName(own), "components")
+    removed(now)
+    return found

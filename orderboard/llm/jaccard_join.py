@@ -24,19 +24,27 @@ then differ in at most ``(a + b) (100 - percent) / (100 + percent)``.
 4. *Windows.* Regions that still hold several components are joined within:
    nodes go to their nearest pivot's cell, and to each cell that the triangle
    inequality cannot rule out; cells are joined recursively, the small ones pair
-   by pair. What is left is compared exactly.
-
-Distances of 1024-bit parity sketches never exceed the sets' own, so nothing that
-links is lost by them. Sketches, 128 bytes a node, are made with the regions; the
-sets themselves, 8 bytes a shingle, only of nodes in pairs that sketches allow.
+   by pair. This goes twice. First each block of a region gives only the nearest
+   pairs that would make one component of its nodes, fewer than it has nodes; they
+   are compared exactly. Regions of which pairs were left out go again with the
+   components as they are then, and give all pairs that still part components.
+
+Distances of parity sketches never exceed the sets' own, so nothing that links is
+lost by them. A sketch has at least as many bits as its set has shingles (1024 at
+least, ``MOST_SKETCH_BITS`` at most), as a fuller one tells no set from another;
+halves of a wider one fold to a narrower. Sketches, 128 bytes or more a node, are
+made with the regions; the sets themselves, 8 bytes a shingle, only of nodes in
+pairs that sketches allow.
 
 ``memberships`` and ``keep_one_each`` need components only and skip pairs that
 are known to be of one. ``links`` and ``link_counts`` skip none: pivots give way
 to windows over all pairs, and links are counted by distinct sets, weighted by
 their documents.
 
-Regions are cut into blocks, so a task holds at most two blocks; copies and near
-copies meet as stored tables, so a hot region's joins can be split.
+Regions are cut into blocks, so a task holds at most two blocks; nodes of a region's
+largest component meet only the others' blocks, so they are not copied to each other's.
+Copies and near copies meet as stored tables, so a hot region's joins can be split.
+Stored tables go as soon as what was made of them is stored.
 
 Defined cases: NULL, empty and wordless texts have no shingle and link with
 nothing; a text of fewer words than a shingle is one shingle. The component of
@@ -47,6 +55,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, exp, sqrt
 
 import numpy as np
@@ -56,17 +65,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderboard.llm.components import components
-from orderboard.llm.tables import WORD, stored
+from orderboard.llm.tables import WORD, removed, stored
 from orderboard.operators.key_filter import marked, may_match
 
 SEGMENT_BYTES = 16 << 20
 MIN_SEGMENTS = 256
 # Pairs of keys and marks that are sorted at once before they are sent.
 SENT_PAIRS = 1 << 18
+# Pairs of keys and marks are exchanged in so many turns at most, each of so many bytes at least.
+TURNS = 4
+TURN_BYTES = 64 << 20
 SKETCH_BITS = 1024
+MOST_SKETCH_BITS = 1 << 16
 BLOCK = 2000
 LEAF = 256
-# Pairs of sketches that are held at once.
+# Pairs of sketches of ``SKETCH_BITS`` that are held at once.
 COMPARED = 1 << 15
 SMALL = 40
 CLASS_WIDTH = 1.25
@@ -114,11 +127,33 @@ def node_of(found: np.ndarray) -> bytes:
 
 
 def sketch_of(found: np.ndarray) -> bytes:
-    """The parity of the shingles in each of ``SKETCH_BITS`` cells."""
-    cells = np.bincount((mixed(found + _ODD) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    """The parity of the shingles in each of as many cells, a power of two, as there are shingles.
+
+    ``SKETCH_BITS`` cells at least and ``MOST_SKETCH_BITS`` at most.
+    """
+    bits = SKETCH_BITS
+    while bits < min(len(found), MOST_SKETCH_BITS):
+        bits *= 2
+    cells = np.bincount((mixed(found + _ODD) % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((cells & 1).astype(np.uint8)).tobytes()
 
 
+def folded(sketches: list[bytes], size: int | None = None) -> np.ndarray:
+    """A row of 64-bit words for each sketch, of ``size`` bytes or those of the narrowest.
+
+    Cells are remainders by powers of two, so the parts of a wider sketch add up, without
+    carry, to the narrower sketch of the same set.
+    """
+    sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    size = size or int(sizes.min(initial=MOST_SKETCH_BITS // 8))
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    for wide in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == wide)
+        parts = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64)
+        out[at] = np.bitwise_xor.reduce(parts.reshape(len(at), wide // size, size // 8), axis=1)
+    return out
+
+
 @dataclass(frozen=True)
 class Rule:
     """When sets link, and the regions that linked sets share."""
@@ -283,21 +318,27 @@ def sent_pairs(
                 yield _packed(at, keys[chosen], marks[chosen], sure)
 
 
-def shared_pairs(described: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """(key, mark) of the nodes of every region that holds two nodes or more.
+def keys_of_turn(batch: pa.RecordBatch, turn: int, turns: int) -> pa.RecordBatch:
+    """The (mark, keys) rows with only the keys of one turn."""
+    lists = batch.column("keys")
+    keys, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    chosen = keys.view(np.uint64) % np.uint64(turns) == turn
+    held = np.r_[0, np.cumsum(chosen)][ends - ends[:1]].astype(np.int32)
+    kept = pa.ListArray.from_arrays(pa.array(held), pa.array(keys[chosen], pa.int64()))
+    return pa.RecordBatch.from_arrays([batch.column("mark"), kept], names=["mark", "keys"])
 
-    Each portion of documents, ``SENT_PAIRS`` pairs or one document, sends 16 bytes
-    for a pair, in one row for each segment of the keys. Of a key that several nodes
-    of a portion have, only the first and last mark meet those of other portions: two
-    marks already make it shared, so the others are sure, and travel in segments of
-    their own marks. A region of any size so brings at most two marks of each portion
-    to its segment.
+
+def shared_in_turns(
+    described: DataFrame, segment_bytes: int = SEGMENT_BYTES, turn_bytes: int = TURN_BYTES
+) -> list[DataFrame]:
+    """``shared_pairs`` of the keys of each turn, each stored.
+
+    A turn's exchange is removed before the next one begins, so the pairs of all
+    keys, the largest exchange of the join, never lie on disk together.
     """
     pairs = described.select(F.sum(F.size("keys").cast("long"))).first()[0] or 0
-    segments = max(MIN_SEGMENTS, -(-16 * pairs // segment_bytes))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return sent_pairs(batches, segments)
+    turns = max(1, min(TURNS, 16 * pairs // turn_bytes))
+    segments = max(MIN_SEGMENTS, -(-16 * pairs // turns // segment_bytes))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])
@@ -325,11 +366,32 @@ def shared_pairs(described: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Da
         if held[0]:
             yield found(*held)
 
-    sent = described.select("mark", "keys").mapInArrow(
-        _released(send), "segment long, sure boolean, keys binary, marks binary"
-    )
-    met = sent.repartition("segment").sortWithinPartitions("segment")
-    return stored(met.mapInArrow(_released(settle), "key long, mark long"), "jaccard-shared")
+    def shared(turn: int) -> DataFrame:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return sent_pairs((keys_of_turn(batch, turn, turns) for batch in batches), segments)
+
+        sent = described.select("mark", "keys").mapInArrow(
+            _released(send), "segment long, sure boolean, keys binary, marks binary"
+        )
+        met = sent.repartition("segment").sortWithinPartitions("segment")
+        return stored(met.mapInArrow(_released(settle), "key long, mark long"), "jaccard-shared")
+
+    return [shared(turn) for turn in range(turns)]
+
+
+def shared_pairs(
+    described: DataFrame, segment_bytes: int = SEGMENT_BYTES, turn_bytes: int = TURN_BYTES
+) -> DataFrame:
+    """(key, mark) of the nodes of every region that holds two nodes or more.
+
+    Each portion of documents, ``SENT_PAIRS`` pairs or one document, sends 16 bytes
+    for a pair, in one row for each segment of the keys. Of a key that several nodes
+    of a portion have, only the first and last mark meet those of other portions: two
+    marks already make it shared, so the others are sure, and travel in segments of
+    their own marks. A region of any size so brings at most two marks of each portion
+    to its segment.
+    """
+    return reduce(DataFrame.unionByName, shared_in_turns(described, segment_bytes, turn_bytes))
 
 
 def distinct_nodes(described: DataFrame) -> DataFrame:
@@ -340,8 +402,21 @@ def distinct_nodes(described: DataFrame) -> DataFrame:
 def regions(described: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, node, n) of every region that holds two nodes or more."""
     named = nodes.select(F.col("mark").alias("of"), "node", "n")
-    members = shared_pairs(described).join(named, F.col("mark") == F.col("of"))
-    return stored(members.select("key", "node", "n").distinct(), "jaccard-members")
+    shared = shared_in_turns(described)
+    members = reduce(DataFrame.unionByName, shared).join(named, F.col("mark") == F.col("of"))
+    found = stored(members.select("key", "node", "n").distinct(), "jaccard-members")
+    removed(*shared)
+    return found
+
+
+def prepared(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, digest, n, node) of each document, ``distinct_nodes`` and ``regions``."""
+    described = documents_with_keys(docs, rule)
+    nodes = distinct_nodes(described)
+    named = stored(described.select("doc_id", "digest", "n", "node"), "jaccard-named")
+    members = regions(described, nodes)
+    removed(described)
+    return named, nodes, members
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -354,13 +429,14 @@ def possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
     def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, other = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-                for c in ("sketch_u", "sketch_v")
-            )
             a, b = batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy()
-            differ = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
-            near = (differ <= rule.differ(a, b)) & (100 * np.minimum(a, b) >= rule.percent * np.maximum(a, b))
+            near = 100 * np.minimum(a, b) >= rule.percent * np.maximum(a, b)
+            one, other = (batch.column(c).to_pylist() for c in ("sketch_u", "sketch_v"))
+            sizes = np.fromiter(map(min, map(len, one), map(len, other)), np.int64, len(one))
+            for size in np.unique(sizes[near]).tolist():
+                at = np.flatnonzero(near & (sizes == size))
+                x, y = (folded([found[i] for i in at.tolist()], size) for found in (one, other))
+                near[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= rule.differ(a[at], b[at])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("u"), batch.column("v")], names=["u", "v"]
             ).filter(pa.array(near, pa.bool_()))
@@ -373,11 +449,11 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
 
 
-def node_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+def node_sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """(node, n, found) of the given nodes, from one document of each."""
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")).alias("one")
     wanted = stored(
-        described.join(nodes, "node", "left_semi").groupBy("node").agg(chosen)
+        named.join(nodes, "node", "left_semi").groupBy("node").agg(chosen)
         .select(F.col("one.doc_id").alias("id"), F.col("one.digest").alias("of")),
         "jaccard-wanted",
     )
@@ -400,7 +476,9 @@ def node_sets(docs: DataFrame, described: DataFrame, nodes: DataFrame, rule: Rul
             )
 
     found = texts.select("text").mapInArrow(_released(describe), "node binary, n long, found binary")
-    return stored(found.dropDuplicates(["node"]), "jaccard-sets")
+    sets = stored(found.dropDuplicates(["node"]), "jaccard-sets")
+    removed(wanted)
+    return sets
 
 
 def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -424,6 +502,14 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.select("u", "v", "uf", "vf").mapInArrow(_released(compare), "u binary, v binary")
 
 
+def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """``linked`` of the pairs (u, v), stored; the sets are made for it and removed."""
+    sets = node_sets(docs, named, ends(pairs), rule)
+    near = stored(linked(pairs, sets, rule), "jaccard-links")
+    removed(sets)
+    return near
+
+
 def _distances(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Hamming distances of packed sketches, a row for each of ``one``."""
     out = np.zeros((len(one), len(other)), np.int32)
@@ -450,6 +536,7 @@ def window_join(
             for cell in cells:
                 yield from window_join(sketch, n, root, rule, cell, leaf)
             return
+    step = max(1, COMPARED * SKETCH_BITS // (64 * sketch.shape[1]))
     for begin in range(0, len(rows), leaf):
         part, rest = rows[begin : begin + leaf], rows[begin:]
         a, b = n[part][:, None], n[rest][None, :]
@@ -459,47 +546,120 @@ def window_join(
         i, j = np.nonzero(fits)
         if len(i):
             x, y = part[i], rest[j]
-            for k in range(0, len(x), COMPARED):
-                u, v = x[k : k + COMPARED], y[k : k + COMPARED]
+            for k in range(0, len(x), step):
+                u, v = x[k : k + step], y[k : k + step]
                 near = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1) <= rule.differ(n[u], n[v])
                 yield u[near], v[near]
 
 
-def pairs_within(members: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
-    """(u, v) of nodes of a region and different roots that may link.
+def nearest_joining(
+    found: Iterator[tuple[np.ndarray, np.ndarray]], sketch: np.ndarray, root: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the pairs found, near ones that join all components that any of them joins.
+
+    ``root`` is changed in place to the components that the pairs would make, so
+    that ``window_join`` compares no more nodes that are joined already. Also
+    whether pairs of different components were left out.
+    """
+
+    def inside(of: np.ndarray) -> int:
+        held = np.unique(of, return_counts=True)[1].astype(np.int64)
+        return int((held * (held - 1) // 2).sum())
+
+    known, x, y = inside(root), [], []
+    for u, v in found:
+        nearest = np.argsort(np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1), kind="stable")
+        u, v = u[nearest], v[nearest]
+        while True:
+            apart = root[u] != root[v]
+            u, v = u[apart], v[apart]
+            if not len(u):
+                break
+            # The nearest pair of each component.
+            firsts = [np.unique(root[side], return_index=True)[1] for side in (u, v)]
+            for i in np.union1d(*firsts).tolist():
+                one, other = root[u[i]], root[v[i]]
+                if one != other:
+                    root[root == other] = one
+                    x.append(u[i])
+                    y.append(v[i])
+    return np.array(x, np.int64), np.array(y, np.int64), inside(root) - known > len(x)
+
+
+def open_regions(members: DataFrame) -> DataFrame:
+    """(region, held, largest, major) of regions with several roots: their nodes and the
+    root that most of them have, with the number of these."""
+    by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("same"))
+    by_key = by_root.groupBy(F.col("key").alias("region")).agg(
+        F.sum("same").alias("held"), F.max(F.struct("same", "root")).alias("most"), F.count(F.lit(1)).alias("roots")
+    )
+    return by_key.filter("roots > 1").select(
+        "region", "held", F.col("most.same").alias("largest"), F.col("most.root").alias("major")
+    )
+
+
+def pairs_within(
+    members: DataFrame, sizes: DataFrame, nodes: DataFrame, rule: Rule, joining: bool = False, block: int = BLOCK
+) -> DataFrame:
+    """(u, v, again) of nodes of a region and different roots that may link, u and v once.
 
-    ``members`` has key, node, n, sketch and root. A region of many nodes is cut
-    into blocks of about ``block`` and each two blocks meet in a task.
+    ``members`` has key, node, n and root, ``sizes`` the regions to join as
+    ``open_regions`` has them. A region of many nodes is cut into blocks of about
+    ``block``, those of its ``major`` root apart from the others, and each two blocks
+    that may hold different roots meet in a task. ``joining`` asks for ``nearest_joining``
+    pairs only; regions of which pairs were left out are then rows of their own, with
+    their key in ``again``.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("key", "region")
-    blocks = F.ceil(F.col("held") / block).cast("int")
+    whole, is_major = F.col("held") <= block, F.col("root").eqNullSafe(F.col("major"))
+    # Blocks of the major root's nodes come first, then those of the others.
+    theirs = F.ceil(F.col("largest") / block).cast("int")
+    blocks = theirs + F.ceil((F.col("held") - F.col("largest")) / block).cast("int")
+    begin, end = F.when(is_major, 0).otherwise(theirs), F.when(is_major, theirs).otherwise(blocks)
+    within = F.pmod(F.xxhash64("node"), F.greatest(end - begin, F.lit(1))).cast("int")
+    others = F.sequence(F.when(is_major, theirs).otherwise(0), blocks - 1)
     dealt = (
         members.join(sizes, F.col("key") == F.col("region"))
-        .withColumn("blocks", blocks)
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("mine", F.when(whole, 0).otherwise(begin + within))
+        .withColumn("other", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(others)))
         .select(
             "key",
             F.least("mine", "other").alias("low"),
             F.greatest("mine", "other").alias("high"),
             "node",
             "n",
-            "sketch",
             F.xxhash64("root").alias("root"),
         )
     )
+    sketches = nodes.select(F.col("node").alias("of"), "sketch")
 
     def meet(rows: pa.Table) -> pa.Table:
         node = rows.column("node").combine_chunks()
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)
-        n, root = rows.column("n").to_numpy(), rows.column("root").to_numpy()
-        found = list(window_join(sketch, n, root, rule, np.arange(len(rows))))
-        x = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int64)
-        y = np.concatenate([p for _, p in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"u": node.take(pa.array(x)), "v": node.take(pa.array(y))})
+        sketch = folded(rows.column("sketch").to_pylist())
+        n, root = rows.column("n").to_numpy(), np.copy(rows.column("root").to_numpy())
+        found, again = window_join(sketch, n, root, rule, np.arange(len(rows))), []
+        if joining:
+            x, y, left_out = nearest_joining(found, sketch, root)
+            again = rows.column("key")[:1].to_pylist() if left_out else []
+        else:
+            parts = [(np.zeros(0, np.int64),) * 2, *found]
+            x, y = (np.concatenate([part[i] for part in parts]) for i in (0, 1))
+        return pa.table(
+            {
+                "u": pa.chunked_array([node.take(pa.array(x)), pa.nulls(len(again), node.type)]),
+                "v": pa.chunked_array([node.take(pa.array(y)), pa.nulls(len(again), node.type)]),
+                "again": pa.chunked_array([pa.nulls(len(x), pa.int64()), pa.array(again, pa.int64())]),
+            }
+        )
+
+    held = dealt.join(sketches, F.col("node") == F.col("of")).select("key", "low", "high", "node", "n", "sketch", "root")
+    met = held.groupBy("key", "low", "high").applyInArrow(meet, "u binary, v binary, again long")
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "again").distinct()
+
 
-    met = dealt.groupBy("key", "low", "high").applyInArrow(meet, "u binary, v binary")
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, n, root) of the members, stored; a node without a root is its own."""
+    found = members.select("key", "node", "n").join(roots, "node", "left")
+    return stored(found.select("key", "node", "n", F.coalesce("root", "node").alias("root")), "jaccard-rooted")
 
 
 def memberships(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -508,40 +668,35 @@ def memberships(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     ``group`` names the component whatever its doc_ids; NULL for texts without words.
     """
     rule = rule or Rule()
-    described = documents_with_keys(docs, rule)
-    nodes = distinct_nodes(described)
-    members = regions(described, nodes)
+    named, nodes, members = prepared(docs, rule)
     pivots = stored(members.groupBy("key").agg(F.min("node").alias("pivot")), "jaccard-pivots")
     starred = stored(members.join(pivots, "key").filter(F.col("node") != F.col("pivot")), "jaccard-starred")
+    removed(members, pivots)
     stars = starred.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     maybe = stored(possible(stars, nodes, rule), "jaccard-possible")
-    near = stored(linked(maybe, node_sets(docs, described, ends(maybe), rule), rule), "jaccard-links")
-    roots = stored(components(near), "jaccard-roots")
-
-    rooted = stored(
-        starred.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")),
-        "jaccard-rooted",
-    )
-    open_ = stored(
-        rooted.groupBy("key")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter(F.col("low") != F.col("high"))
-        .select(F.col("key").alias("region")),
-        "jaccard-open",
-    )
-    left = rooted.join(open_, F.col("key") == F.col("region"), "left_semi")
-    sketches = nodes.select("node", "sketch")
-    windows = stored(left.join(sketches, "node"), "jaccard-windows")
-    maybe = stored(pairs_within(windows, rule), "jaccard-possible")
-    more = stored(linked(maybe, node_sets(docs, described, ends(maybe), rule), rule), "jaccard-links")
-    roots = stored(components(near.unionByName(more)), "jaccard-roots")
+    near = verified(docs, named, maybe, rule)
+    roots = components(near)
+    rooted = _rooted(starred, roots)
+    removed(maybe, near, starred)
+
+    for joining in (True, False):
+        sizes = stored(open_regions(rooted), "jaccard-open")
+        found = stored(pairs_within(rooted, sizes, nodes, rule, joining), "jaccard-possible")
+        near = verified(docs, named, found.filter("u IS NOT NULL").select("u", "v"), rule)
+        last, roots = roots, components(near.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        removed(last, near, sizes)
+        again = found.filter("again IS NOT NULL").select(F.col("again").alias("key")).distinct()
+        last, rooted = rooted, _rooted(rooted.join(again, "key", "left_semi"), roots) if joining else None
+        removed(last, found)
+    removed(nodes)
 
     grouped = stored(
-        described.select("doc_id", "digest", "n", "node").join(roots, "node", "left").select(
+        named.join(roots, "node", "left").select(
             "doc_id", "digest", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("group")
         ),
         "jaccard-grouped",
     )
+    removed(named, roots)
     smallest = stored(
         grouped.filter(F.col("n") > 0).groupBy("group").agg(F.min("doc_id").alias("least")), "jaccard-least"
     )
@@ -563,20 +718,23 @@ def links(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     a region that any window allows are compared. In a group of k sets that all
     link that is k (k - 1) / 2 rows, as many as there are links.
     """
-    rule = rule or Rule()
-    return _links(docs, documents_with_keys(docs, rule), rule)
+    return _links(docs, rule or Rule())[1]
 
 
-def _links(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
-    nodes = distinct_nodes(described)
-    members = regions(described, nodes)
+def _links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n, node) of each document, and ``links``."""
+    named, nodes, members = prepared(docs, rule)
     # Each node its own root: none of its pairs are settled.
-    rooted = members.join(nodes.select("node", "sketch"), "node").withColumn("root", F.col("node"))
-    maybe = stored(pairs_within(stored(rooted, "jaccard-windows"), rule), "jaccard-possible")
-    near = stored(linked(maybe, node_sets(docs, described, ends(maybe), rule), rule), "jaccard-links")
-    held = stored(described.groupBy("node").agg(F.count(F.lit(1)).alias("docs")), "jaccard-held")
+    rooted = members.withColumn("root", F.col("node"))
+    sizes = members.groupBy(F.col("key").alias("region")).agg(F.count(F.lit(1)).alias("held")).select(
+        "region", "held", F.lit(0).alias("largest"), F.lit(None).cast("binary").alias("major")
+    )
+    maybe = stored(pairs_within(rooted, sizes, nodes, rule).select("u", "v"), "jaccard-possible")
+    near = verified(docs, named, maybe, rule)
+    removed(maybe, members, nodes)
+    held = stored(named.groupBy("node").agg(F.count(F.lit(1)).alias("docs")), "jaccard-held")
     u, v = (held.select(F.col("node").alias(c), F.col("docs").alias(f"docs_{c}")) for c in "uv")
-    return near.join(u, "u").join(v, "v").select("u", "v", "docs_u", "docs_v")
+    return named, near.join(u, "u").join(v, "v").select("u", "v", "docs_u", "docs_v")
 
 
 def link_counts(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -584,21 +742,20 @@ def link_counts(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
     Documents of the same set link with each other; those without words with none.
     """
-    rule = rule or Rule()
-    described = documents_with_keys(docs, rule)
-    near = stored(_links(docs, described, rule), "jaccard-weighted")
+    named, near = _links(docs, rule or Rule())
+    near = stored(near, "jaccard-weighted")
     ends = near.select(F.col("u").alias("node"), F.col("docs_v").alias("docs")).unionByName(
         near.select(F.col("v").alias("node"), F.col("docs_u").alias("docs"))
     )
     others = stored(ends.groupBy("node").agg(F.sum("docs").alias("others")), "jaccard-others")
-    held = stored(described.groupBy("node").agg(F.count(F.lit(1)).alias("same")), "jaccard-held")
+    held = stored(named.groupBy("node").agg(F.count(F.lit(1)).alias("same")), "jaccard-held")
     counts = stored(
         held.join(others, "node", "left").select(
             "node", (F.col("same") - 1 + F.coalesce("others", F.lit(0))).alias("of_node")
         ),
         "jaccard-counts",
     )
-    return described.select("doc_id", "digest", "n", "node").join(counts, "node").select(
+    return named.select("doc_id", "digest", "n", "node").join(counts, "node").select(
         "doc_id",
         "digest",
         F.col("n").alias("n_shingles"),
