@@ -683,12 +683,15 @@ def memberships(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
         sizes = stored(open_regions(rooted), "jaccard-open")
         found = stored(pairs_within(rooted, sizes, nodes, rule, joining), "jaccard-possible")
         near = verified(docs, named, found.filter("u IS NOT NULL").select("u", "v"), rule)
-        last, roots = roots, components(near.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        removed(last, near, sizes)
+        if not near.isEmpty():
+            last, roots = roots, components(near.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+            removed(last)
         again = found.filter("again IS NOT NULL").select(F.col("again").alias("key")).distinct()
-        last, rooted = rooted, _rooted(rooted.join(again, "key", "left_semi"), roots) if joining else None
-        removed(last, found)
-    removed(nodes)
+        last, rooted = rooted, _rooted(rooted.join(again, "key", "left_semi"), roots)
+        removed(last, found, near, sizes)
+        if rooted.isEmpty():
+            break
+    removed(rooted, nodes)
 
     grouped = stored(
         named.join(roots, "node", "left").select(
